@@ -1,0 +1,64 @@
+"""Size checks that decide between one-pass, broadcast and fully shuffled plans."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import checkpointed
+
+MAX_BROADCAST_ROWS = 200_000
+SALTS = 16
+ONE_PASS_BYTES = 8 * 1024 * 1024
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Size bound of a plan from the optimizer's statistics; runs no job.
+
+    None where the session gives no access to them, which callers treat as large.
+    """
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
+def is_small(df: DataFrame, limit: int = ONE_PASS_BYTES) -> bool:
+    size = plan_bytes(df)
+    return size is not None and size <= limit
+
+
+def literal_table(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
+    """Constant rows as a table made inside the plan."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
+                spread: Sequence[str] = (), max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Attach a computed lookup table (unique on ``on``) to a big table.
+
+    The lookup is computed once, into a checkpoint, and counted.  Up to
+    ``max_rows`` it is broadcast, so the big side does not move.  Beyond that
+    both sides are shuffled on (key, salt): the salt, taken from the ``spread``
+    columns of the big side, cuts a hot key into ``SALTS`` tasks, and the
+    lookup rows are repeated once per salt.
+    """
+    right = checkpointed(right)
+    if right.count() <= max_rows:
+        return left.join(F.broadcast(right), list(on), how)
+    return salted_join(left, right, on, how, spread)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
+                spread: Sequence[str] = ()) -> DataFrame:
+    """Equi-join that survives hot keys on the left side; the right side is unique on ``on``."""
+    salt: Column = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return (
+        left.withColumn("_salt", salt)
+        .join(right.withColumn("_salt", salts), [*on, "_salt"], how)
+        .drop("_salt")
+    )
