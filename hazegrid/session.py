@@ -38,6 +38,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: temporary folders of local applications that name none
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -45,14 +49,15 @@ def _is_local(spark: SparkSession) -> bool:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a local session without that setting gets a temporary folder, once per
+    application; a cluster without it is refused.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(context.applicationId)
     if not named:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="hazegrid-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="hazegrid-")
     return named
 
 
@@ -61,6 +66,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write the rows to a fresh folder under the shared root and read them back.
+
+    The table outlives lost executors, and several later steps can read it
+    without repeating the work that made it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    writer = df.write.option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
