@@ -100,24 +100,57 @@ def shingles(values: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.
     index = np.repeat(begins - out_begin, per_text) + np.arange(int(per_text.sum()))
     out = h[index]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
-        v = np.uint64(0)
-        for j, w in enumerate(values[begins[i]: ends[i]]):
-            v = mix(np.array([v + w * _MUL1 + np.uint64(j + 1)], np.uint64))[0]
+        v = np.zeros(1, np.uint64)
+        for j, at in enumerate(range(begins[i], ends[i])):
+            v = mix(v + values[at: at + 1] * _MUL1 + np.uint64(j + 1))
         # shorter sequences hash apart from full shingles
-        out[out_begin[i]] = mix(np.array([v + np.uint64(counts[i]) * _MUL2], np.uint64))[0]
+        out[out_begin[i]] = mix(v + counts[i: i + 1].astype(np.uint64) * _MUL2)[0]
     return out, per_text
 
 
 def flatten_sets(hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text, one text after the other, and their numbers."""
-    owner = np.repeat(np.arange(len(per_text)), per_text)
-    order = np.lexsort((hashes, owner))
-    h, o = hashes[order], owner[order]
-    if len(h):
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-        h, o = h[keep], o[keep]
-    return h, np.bincount(o, minlength=len(per_text)).astype(np.int64)
+    sizes = np.zeros(len(per_text), np.int64)
+    parts, at = [], 0
+    for i, n in enumerate(per_text.tolist()):
+        if n:
+            part = np.unique(hashes[at: at + n])
+            parts.append(part)
+            sizes[i] = len(part)
+            at += n
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), sizes
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of each run of equal ``keys`` in sorted Arrow batches; keys are whole numbers without NULL.
+
+    A run is held whole, so callers bound the number of rows per key.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            key = tuple(c[begin] for c in columns)
+            if held and key != last:
+                yield _one(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = key
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 # --- tokens ------------------------------------------------------------------
