@@ -3,25 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import decontaminate, langid, neardup, packing, quality, tokenfile
 from .common import table, tokenizer_path
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fifth."""
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(~quality.held_out())
+    model = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in sequences of at most 4096 tokens."""
     _, placement = packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
     return placement
 
 
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, and whether it is accepted."""
+    docs = table(spark, folder, "documents")
+    model = langid.train_text_model(docs.select("lang", "text"))
+    return langid.identify(langid.document_rows(docs), model)
+
+
+def pages_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page, with the trigram model of the documents."""
+    model = langid.train_text_model(table(spark, folder, "documents").select("lang", "text"))
+    return langid.identify(langid.page_rows(table(spark, folder, "pages")), model, "page_id")
+
+
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its largest tiled coverage of a benchmark item."""
+    return decontaminate.flag_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of all documents, read back from their token files."""
     return tokenfile.token_file_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
+    "pages_language_id": pages_language_id,
 }
 
 SQL: dict[str, str] = {}
