@@ -160,7 +160,7 @@ def identify(rows: DataFrame, model: TextModel, id_name: str = "doc_id",
     n = len(model.languages)
     narrow = rows.select(id_name, "text", *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "domain", "host")])
     schema = narrow.drop("text").schema
-    schema.add("_text", T.ArrayType(T.DoubleType())).add("n_trigrams", "long").add("unseen", "double").add("_top", "int")
+    schema.add("_text", T.ArrayType(T.DoubleType())).add("n_trigrams", "long").add("unseen", "double").add("_top", "integer")
     scored = stored(narrow.mapInArrow(_score(spark.sparkContext.broadcast(model), id_name), schema), "scored")
 
     whole = scored.where("_top IS NOT NULL").groupBy("_top").count().collect()
