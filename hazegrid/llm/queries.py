@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, packing, quality, tokenfile
+from . import decontaminate, langid, licenses, neardup, packing, quality, tokenfile, urlrules
 from .common import table, tokenizer_path
 
 
@@ -41,6 +41,32 @@ def pages_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(langid.page_rows(table(spark, folder, "pages")), model, "page_id")
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.licenses_per_document(table(spark, folder, "documents"))
+
+
+#: verdict, host, start of the path
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address; a page is labelled by the row of ``labels`` with its number."""
+    pages = table(spark, folder, "pages")
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), urlrules.BLOCK).when(
+            F.col("quality").isNotNull() | F.col("toxic").isNotNull(), urlrules.ALLOW).alias("label"))
+    labelled = pages.select("page_id", "url").join(labels, "page_id")
+    return urlrules.judge(pages, labelled, URL_RULES).drop("mined")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its largest tiled coverage of a benchmark item."""
     return decontaminate.flag_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -56,6 +82,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
+    "op6_url_filter": op6_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
     "pages_language_id": pages_language_id,
