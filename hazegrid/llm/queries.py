@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, neardup, packing, quality, tokenfile, urlrules
+from . import decontaminate, fingerprint, langid, licenses, neardup, packing, quality, tokenfile, urlrules
 from .common import table, tokenizer_path
 
 
@@ -67,6 +67,11 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(pages, labelled, URL_RULES).drop("mined")
 
 
+def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document beside those of its edited text and of the next document."""
+    return fingerprint.against_next(table(spark, folder, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its largest tiled coverage of a benchmark item."""
     return decontaminate.flag_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
     "pages_language_id": pages_language_id,
