@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, licenses, neardup, packing, quality, tokenfile, urlrules
+from . import decontaminate, fingerprint, langid, licenses, neardup, packing, quality, suffixdedup, tokenfile, urlrules
 from .common import table, tokenizer_path
 
 
@@ -67,6 +67,11 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(pages, labelled, URL_RULES).drop("mined")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the passages that earlier ones have."""
+    return suffixdedup.digests(suffixdedup.remove_repeats(table(spark, folder, "documents")))
+
+
 def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document beside those of its edited text and of the next document."""
     return fingerprint.against_next(table(spark, folder, "documents"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_url_filter": op6_url_filter,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
