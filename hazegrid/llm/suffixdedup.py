@@ -527,6 +527,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         _clean(bits), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def texts_left(cut: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of the result of ``remove_repeats``; bytes of characters cut in two go."""
+    return cut.select("doc_id", "kept").mapInArrow(_decode, "doc_id long, text string")
+
+
 def digests(cut: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of the result of ``remove_repeats``."""
     return cut.select(
