@@ -37,10 +37,14 @@ def align_time(ts: Column | str, unit: str = "hour") -> Column:
 
 
 def forecast_dates(start: Column | str, days: int) -> Column:
-    """Array of ``days`` consecutive timestamps; a plain date starts at noon."""
-    return F.sequence(
-        _col(start), _col(start) + F.make_dt_interval(F.lit(days - 1)), F.expr("INTERVAL 1 DAY")
-    )
+    """Array of ``days`` consecutive timestamps from ``start``, none for 0 days.
+
+    Give dates through ``at_noon``; a timestamp keeps its time of day.
+    """
+    first = _col(start)
+    if days < 1:
+        return F.when(first.isNotNull(), F.array().cast("array<timestamp>"))
+    return F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda k: first + F.make_dt_interval(k))
 
 
 def at_noon(day: Column | str) -> Column:

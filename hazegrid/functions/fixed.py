@@ -63,6 +63,8 @@ REGION_BOXES = [
     ("Agra", 27.1, 27.3, 77.9, 78.2),
     ("Nashik", 19.9, 20.1, 73.6, 73.9),
 ]
+REGION_PARTS = {"north": "Northern India", "west": "Western India", "east": "Eastern India",
+                "central": "Central India", "rest": "Southern India"}
 NORTH_FROM_LAT = 26.0
 WEST_TO_LON = 76.0
 EAST_FROM_LON = 86.0
@@ -97,6 +99,12 @@ KELVIN_OFFSET = 273.15
 AOD_DAILY_STEP, AOD_MAX_STEP = 0.1, 0.3
 FALLBACK_PM_PER_AOD = 120.0
 
+# --- Fixed values: formula coefficients --------------------------------------
+BLH_ESTIMATE = (500.0, 20.0, 100.0)  # base, per degree, spread
+LINEAR_PM25 = {"aod": 80.0, "temp": 0.5, "temp_from": 40.0, "wind": 2.0, "wind_from": 10.0, "r2m": 0.2,
+               "blh": 0.02, "blh_from": 1000.0}
+SEASONAL_PM25 = {"base": 30.0, "yearly": 15.0, "month_from": 3, "aod": 70.0, "wind": 3.0, "temp": 0.5}
+
 # --- Fixed values: defaults of absent scoring inputs ------------------------
 FEATURE_DEFAULTS = {
     "aod_550": 0.6, "t2m_celsius": 25.0, "wind_speed_10m": 4.0, "r2m": 65.0, "blh": 800.0,
@@ -157,9 +165,6 @@ ADVISORY_LIMITS = {
 }
 AUDIENCE_LIMITS = {"exercise": 35.0, "schools": 55.0, "vulnerable": 12.0, "masks": 35.0}
 
-# --- Fixed values: importance thresholds ------------------------------------
-INSIGHT_LIMITS = {"aod_550": 0.2, "wind_speed_10m": 0.15, "t2m_celsius": 0.1, "month": 0.1}
-
 # --- Fixed values: substrings that assign columns to variable groups --------
 QUALITY_GROUPS = {
     "Weather": ["t2m", "wind", "blh", "humidity", "pressure"],
@@ -167,18 +172,11 @@ QUALITY_GROUPS = {
     "Ground Truth": ["pm2_5", "pm10", "no2"],
     "Spatial/Temporal": ["lat", "lon", "hour", "month"],
 }
-FEATURE_GROUPS = {
-    "Satellite AOD": ["aod"],
-    "Meteorological": ["t2m", "wind", "blh", "humidity", "pressure"],
-    "Temporal": ["hour", "month", "season", "day"],
-    "Spatial": ["lat_sin", "lat_cos", "lon_sin", "lon_cos"],
-}
-SOURCE_MARKERS = {"weather": ["t2m", "wind"], "satellite_aod": ["aod"]}
+SOURCE_MARKERS = {"weather": ["t2m", "wind"], "satellite_aod": ["aod"], "ground": ["pm2_5", "pm10", "no2"]}
 
 # --- Fixed values: model settings -------------------------------------------
 SEED = 42
 TRAIN_FRACTION = 0.7
-MIN_ROWS_TO_SPLIT = 20
 FOREST_SETTINGS = {"trees": 100, "depth": 10}
 BOOSTED_SETTINGS = {
     "base": {"rounds": 100, "depth": 6, "rate": 0.1, "row_share": 1.0, "column_share": 1.0},

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .weather import _col
+from .weather import _col, present
 
 
 def encode_location(lat: Column | str = "latitude", lon: Column | str = "longitude") -> dict[str, Column]:
@@ -19,11 +20,15 @@ def encode_location(lat: Column | str = "latitude", lon: Column | str = "longitu
 
 def cell_index(c: Column | str, resolution: float) -> Column:
     """Integer number of the nearest lattice line; the exact join key of a cell."""
-    return F.floor(_col(c) / F.lit(resolution) + F.lit(0.5)).cast("int")
+    return F.when(present(c), F.floor(_col(c) / F.lit(resolution) + F.lit(0.5)).cast("int"))
 
 
-def grid_id(lat_index: Column | str, lon_index: Column | str, resolution: float, decimals: int = 1) -> Column:
-    """Printable cell name, e.g. ``13.0_77.5``; for output only, never a join key."""
+def grid_id(lat_index: Column | str, lon_index: Column | str, resolution: float) -> Column:
+    """Printable cell name, e.g. ``13.0_77.5``; for output only, never a join key.
+
+    Has the decimals of the resolution, so different cells have different names.
+    """
+    decimals = max(1, -Decimal(str(resolution)).normalize().as_tuple().exponent)
     layout = f"%.{decimals}f_%.{decimals}f"
     return F.format_string(layout, _col(lat_index) * F.lit(resolution), _col(lon_index) * F.lit(resolution))
 
@@ -44,31 +49,31 @@ def in_zone(lat: Column | str, lon: Column | str, zone: Sequence) -> Column:
 
 def location_status(lat: Column | str = "latitude", lon: Column | str = "longitude",
                     bounds: dict[str, float] | None = None) -> Column:
-    """``outside`` the bounds, else ``ocean``, else ``valid``."""
+    """``outside`` the bounds, else ``ocean``, else ``valid``; ``unknown`` without a position."""
     inside = in_box(lat, lon, **(bounds or fixed.VALIDATION_BOUNDS))
     at_sea = F.lit(False)
     for zone in fixed.OCEAN_ZONES:
         at_sea = at_sea | in_zone(lat, lon, zone)
-    return F.when(~inside, "outside").when(at_sea, "ocean").otherwise("valid")
+    return F.when(~present(lat, lon), "unknown").when(~inside, "outside").when(at_sea, "ocean").otherwise("valid")
 
 
 def region_of(lat: Column | str = "latitude", lon: Column | str = "longitude") -> Column:
-    """Named region of a point: first matching city box, else a part of the country."""
+    """Named region of a point: first matching city box, else a part of the country; NULL without a position."""
     y, x = _col(lat), _col(lon)
-    label = F
+    label = F.when(~present(y, x), F.lit(None).cast("string"))
     for name, *box in fixed.REGION_BOXES:
         label = label.when(in_box(y, x, *box), name)
     return (
-        label.when(y >= fixed.NORTH_FROM_LAT, "Northern India")
-        .when(x <= fixed.WEST_TO_LON, "Western India")
-        .when(x >= fixed.EAST_FROM_LON, "Eastern India")
-        .when(y.between(*fixed.CENTRAL_LAT), "Central India")
-        .otherwise("Southern India")
+        label.when(y >= fixed.NORTH_FROM_LAT, fixed.REGION_PARTS["north"])
+        .when(x <= fixed.WEST_TO_LON, fixed.REGION_PARTS["west"])
+        .when(x >= fixed.EAST_FROM_LON, fixed.REGION_PARTS["east"])
+        .when(y.between(*fixed.CENTRAL_LAT), fixed.REGION_PARTS["central"])
+        .otherwise(fixed.REGION_PARTS["rest"])
     )
 
 
 def zone_baseline(lat: Column | str = "latitude", lon: Column | str = "longitude") -> Column:
-    """Struct of the climatological base values that hold at a point."""
+    """Struct of the climatological base values that hold at a point; NULL without a position."""
 
     def base(name: str, aod: float, wind: float, blh: float) -> Column:
         return F.struct(
@@ -79,7 +84,7 @@ def zone_baseline(lat: Column | str = "latitude", lon: Column | str = "longitude
     found = F
     for name, lat_min, lat_max, lon_min, lon_max, *values in fixed.BASELINE_ZONES:
         found = found.when(in_box(lat, lon, lat_min, lat_max, lon_min, lon_max), base(name, *values))
-    return found.otherwise(base(*fixed.DEFAULT_ZONE))
+    return F.when(present(lat, lon), found.otherwise(base(*fixed.DEFAULT_ZONE)))
 
 
 def coord_label(lat: Column | str = "latitude", lon: Column | str = "longitude") -> Column:

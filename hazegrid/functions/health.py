@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .weather import _col
+from .weather import _col, present
 
 
 def cpcb_aqi(pm: Column | str) -> Column:
-    """Index on the CPCB scale, as a double: linear inside each band, at most 500."""
+    """Index on the CPCB scale, as a double: linear inside each band, at most 500; NULL and NaN give NULL."""
     value = _col(pm)
     low, index_low = 0.0, 0.0
-    index = F
+    index = F.when(~present(value), F.lit(None).cast("double"))
     for _, high, index_high in fixed.CPCB_BANDS[:-1]:
         line = F.lit(index_low) + (value - low) * (index_high - index_low) / (high - low)
         index = index.when(value <= high, line)
@@ -23,12 +23,12 @@ def cpcb_aqi(pm: Column | str) -> Column:
     return index.when(value > low, F.least(F.lit(fixed.CPCB_INDEX_MAX), top))
 
 
-def _banded(value: Column, limits: list[float], labels: list[str]) -> Column:
-    """Label of the first limit that is not exceeded; the last label has no limit."""
-    found = F
+def _banded(value: Column, limits: list[float], labels: list) -> Column:
+    """Label of the first limit that is not exceeded; the last label has no limit; NULL and NaN have none."""
+    found = F.when(~present(value), F.lit(None))
     for limit, label in zip(limits, labels):
         found = found.when(value <= limit, label)
-    return found.when(value.isNotNull(), labels[-1])
+    return found.otherwise(labels[-1])
 
 
 def cpcb_category(pm: Column | str) -> Column:
@@ -41,86 +41,49 @@ def epa_category(pm: Column | str) -> Column:
     return _banded(_col(pm), [b[1] for b in bands], [b[0] for b in bands] + [fixed.EPA_TOP])
 
 
-ADVICE_TEXT = {
-    "regional": [
-        "Fine for time outside",
-        "Mostly fine; take care if you react to dust",
-        "A mask helps outside",
-        "Keep time outside short, above all for children",
-        "Stay inside where you can",
-    ],
-    "national": [
-        "Clean air nationwide",
-        "Acceptable air for most people",
-        "Sensitive people should shorten outdoor effort",
-        "Everyone should cut time outside",
-    ],
-    "forecast": [
-        "Good days ahead for outdoor plans",
-        "Mostly good days, with some change",
-        "Watch daily levels if you are sensitive",
-        "Plan for indoor days",
-    ],
-}
-
-AUDIENCE_TEXT = {
-    "exercise": ("outdoors is fine", "prefer indoors"),
-    "schools": ("normal day", "limit sports outside"),
-    "vulnerable": ("no extra care", "extra care"),
-    "masks": ("not needed", "advised outside"),
-}
-
-
-def advisory(pm: Column | str, ladder: str = "regional") -> Column:
-    """Advice for a mean PM2.5 on one of the ladders regional, national, forecast."""
-    return _banded(_col(pm), fixed.ADVISORY_LIMITS[ladder], ADVICE_TEXT[ladder])
-
-
-def audience_advice(pm: Column | str) -> Column:
-    """Array of (audience, advice), one entry per audience."""
+def advisory_level(pm: Column | str, ladder: str = "regional") -> Column:
+    """Step of a mean PM2.5 on one of the ladders regional, national, forecast: 0 up to the first limit.
+
+    Wording is the caller's: join a table of texts on (ladder, level).
+    """
+    limits = fixed.ADVISORY_LIMITS[ladder]
+    return _banded(_col(pm), limits, list(range(len(limits) + 1))).cast("int")
+
+
+def audience_limits(pm: Column | str) -> Column:
+    """Array of (audience, limited): whether the value exceeds what suits the audience."""
     value = _col(pm)
     return F.array(*[
-        F.struct(
-            F.lit(who).alias("audience"),
-            F.when(value <= limit, AUDIENCE_TEXT[who][0])
-            .when(value > limit, AUDIENCE_TEXT[who][1]).alias("advice"),
-        )
+        F.struct(F.lit(who).alias("audience"), F.when(present(value), value > limit).alias("limited"))
         for who, limit in fixed.AUDIENCE_LIMITS.items()
     ])
 
 
-# status symbol, message, recommendations
-CATEGORY_NOTES = {
-    "Good": ("ok", "Clean air.", ["Outdoor sport is fine", "No limits for any group"]),
-    "Satisfactory": ("ok", "Acceptable air.", ["Outdoor time is fine", "Sensitive people watch for symptoms"]),
-    "Moderate": ("watch", "Sensitive people may notice it.", ["Shorten hard effort outside", "Sensitive people go inside"]),
-    "Poor": ("warn", "Anyone may notice effects.", ["Cut outdoor time", "Filter indoor air", "Wear a mask outside"]),
-    "Very Poor": ("alert", "Effects on health are likely.", ["Skip outdoor activity", "Shut the windows", "Use an N95 mask if you must go out"]),
-    "Severe": ("alarm", "Dangerous for everyone.", ["Stay inside", "Filter indoor air", "See a doctor if you feel symptoms"]),
-}
-UNKNOWN_NOTE = ("unknown", "No rating for this air.", [])
+def category_attributes(category: Column | str, scale: str = "cpcb") -> Column:
+    """Struct of colour, level, mask_needed, outdoor_limit for a category of one scale.
 
-
-def category_attributes(category: Column | str) -> Column:
-    """Struct of colour, status, message, advice for a category of either scale.
-
-    A literal map is looked up in place: ten constant entries need no join.
+    ``level`` counts the scale's categories from 1; a mask is needed and time
+    outdoors is limited from the level whose lower limit reaches the numeric
+    limits of the audiences.  "Good" and "Moderate" stand on both scales with
+    different meaning, so the scale must be named; other names give level NULL.
     """
+    if scale == "cpcb":
+        names, lower = [b[0] for b in fixed.CPCB_BANDS], [0.0, *[b[1] for b in fixed.CPCB_BANDS[:-1]]]
+    elif scale == "epa":
+        names, lower = [b[0] for b in fixed.EPA_BANDS] + [fixed.EPA_TOP], [0.0, *[b[1] for b in fixed.EPA_BANDS]]
+    else:
+        raise ValueError(f"unknown scale {scale!r}")
     name = _col(category)
 
-    def lookup(pairs: dict, default: Column) -> Column:
-        flat = [part for key, value in pairs.items() for part in (F.lit(key), value)]
-        return F.coalesce(F.element_at(F.create_map(*flat), name), default)
-
-    def texts(items: list[str]) -> Column:
-        return F.array(*[F.lit(i) for i in items]).cast("array<string>")
+    def lookup(values: list) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in zip(names, values) for x in pair]), name)
 
-    notes = CATEGORY_NOTES
+    limits = fixed.AUDIENCE_LIMITS
     return F.struct(
-        lookup({k: F.lit(v) for k, v in fixed.CATEGORY_COLOURS.items()}, F.lit(fixed.UNKNOWN_COLOUR)).alias("colour"),
-        lookup({k: F.lit(v[0]) for k, v in notes.items()}, F.lit(UNKNOWN_NOTE[0])).alias("status"),
-        lookup({k: F.lit(v[1]) for k, v in notes.items()}, F.lit(UNKNOWN_NOTE[1])).alias("message"),
-        lookup({k: texts(v[2]) for k, v in notes.items()}, texts(UNKNOWN_NOTE[2])).alias("advice"),
+        F.coalesce(lookup([fixed.CATEGORY_COLOURS[n] for n in names]), F.lit(fixed.UNKNOWN_COLOUR)).alias("colour"),
+        lookup(list(range(1, len(names) + 1))).alias("level"),
+        lookup([low >= limits["masks"] for low in lower]).alias("mask_needed"),
+        lookup([low >= limits["schools"] for low in lower]).alias("outdoor_limit"),
     )
 
 

@@ -12,15 +12,24 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def present(*columns: Column | str) -> Column:
+    """True where every column holds a number: neither NULL nor NaN."""
+    found = F.lit(True)
+    for c in columns:
+        value = _col(c).cast("double")
+        found = found & value.isNotNull() & ~F.isnan(value)
+    return F.coalesce(found, F.lit(False))
+
+
 def clamp(c: Column | str, low: float | None = None, high: float | None = None) -> Column:
-    """Limit a value to [low, high]; a NULL stays NULL."""
+    """Limit a value to [low, high]; NULL and NaN give NULL."""
     value = _col(c)
     bounded = value
     if high is not None:
         bounded = F.least(bounded, F.lit(high))
     if low is not None:
         bounded = F.greatest(bounded, F.lit(low))
-    return F.when(value.isNotNull(), bounded)
+    return F.when(present(value), bounded)
 
 
 def kelvin_to_celsius(c: Column | str) -> Column:
@@ -38,7 +47,8 @@ def estimate_blh(t2m_celsius: Column | str) -> Column:
     The spread of 0..100 m on top of the base enters with its mean, so that
     equal rows get equal values wherever and whenever they are computed.
     """
-    return F.lit(500.0) + F.lit(20.0) * _col(t2m_celsius) + F.lit(50.0)
+    base, slope, spread = fixed.BLH_ESTIMATE
+    return F.lit(base) + F.lit(slope) * _col(t2m_celsius) + F.lit(spread / 2)
 
 
 def formula_pm25(variant: str = "linear", limit: bool = True) -> Column:
@@ -49,17 +59,19 @@ def formula_pm25(variant: str = "linear", limit: bool = True) -> Column:
     """
     aod, temp, wind = F.col("aod_550"), F.col("t2m_celsius"), F.col("wind_speed_10m")
     if variant == "linear":
+        k = fixed.LINEAR_PM25
         raw = (
-            aod * 80.0
-            + (F.lit(40.0) - temp) * 0.5
-            + (F.lit(10.0) - wind) * 2.0
-            + F.col("r2m") * 0.2
-            + (F.lit(1000.0) - F.col("blh")) * 0.02
+            aod * k["aod"]
+            + (F.lit(k["temp_from"]) - temp) * k["temp"]
+            + (F.lit(k["wind_from"]) - wind) * k["wind"]
+            + F.col("r2m") * k["r2m"]
+            + (F.lit(k["blh_from"]) - F.col("blh")) * k["blh"]
         )
         limits = fixed.PM_LIMITS
     elif variant == "seasonal":
-        yearly = F.sin((F.col("month") - 3) * F.pi() / 6)
-        raw = F.lit(30.0) - yearly * 15.0 + aod * 70.0 - wind * 3.0 + temp * 0.5
+        k = fixed.SEASONAL_PM25
+        yearly = F.sin((F.col("month") - k["month_from"]) * F.pi() / 6)
+        raw = F.lit(k["base"]) - yearly * k["yearly"] + aod * k["aod"] - wind * k["wind"] + temp * k["temp"]
         limits = fixed.PM_LIMITS_SEASONAL
     else:
         raise ValueError(f"unknown formula variant {variant!r}")

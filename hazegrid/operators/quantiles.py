@@ -1,11 +1,12 @@
 """Exact quantiles without gathering a group in one task.
 
-A single aggregate that keeps every distinct value of a group in one buffer is
-fine for small inputs only.  Beyond a checked size the value axis is narrowed
-in rounds: count values per bucket (combined before the shuffle), find the
-bucket that holds each wanted rank, look closer at those buckets only.  Copies
-of one value never spread: a bucket whose smallest and largest value agree is
-final.
+Equal values of a group are folded into counts once and the counts are stored.
+Then the value axis is narrowed round by round: count per bucket (combined
+before the shuffle), find the bucket that holds each wanted rank, look closer at
+those buckets only.  A bucket is cut between its smallest and its largest value,
+which fall into different parts, so every round leaves fewer distinct values and
+the search ends by itself.  Infinities are values of their own and are counted
+apart.
 """
 
 from __future__ import annotations
@@ -16,137 +17,101 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.sizing import MAX_BROADCAST_ROWS, SALTS, is_small
-from ..session import checkpointed
+from ..session import stored
 
 # first round: about a thousand buckets per factor of e, whatever the data's range
 _LOG_STEPS = 1000.0
 _LOG_UNIT = 1e-3
 # later rounds: linear parts of the bucket in view
 _PARTS = 4096
-_ROUNDS = 12
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``by``, ``n`` (values present), one column per entry of ``probs``.
 
-    Quantiles interpolate linearly between neighbouring values.  NULL and NaN
-    do not count.  ``method`` is ``auto``, ``one_pass`` or ``narrowing``; all
-    give the same result.
+    Quantiles interpolate linearly between neighbouring values.  NULL and NaN do
+    not count; a group without values is absent.
     """
     v = F.col(value).cast("double")
-    rows = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if method == "auto":
-        method = "one_pass" if is_small(rows) else "narrowing"
-    if method == "one_pass":
-        return _one_pass(rows, probs, by)
-    return _narrowing(rows, probs, by)
-
-
-def _one_pass(rows: DataFrame, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
-    levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-    found = rows.groupBy(*by).agg(
-        F.count("_v").alias("n"), F.percentile("_v", levels).alias("_q")
-    )
-    return found.select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    grouped = [F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
+    rows = df.select(*grouped, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    folded = stored(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w")), "values")
+    found = _search(folded, probs, keys)
+    names = [F.col(k).alias(b) for b, k in zip(by, keys)]
+    return found.select(*names, "n", *probs)
 
 
 def _log_bucket(v: Column) -> Column:
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) / _LOG_UNIT) * _LOG_STEPS)).cast("long")
+    size = F.floor(F.log1p(F.abs(v) / _LOG_UNIT) * _LOG_STEPS)
+    return F.when(F.abs(v) == float("inf"), F.signum(v) * F.lit(1e9)).otherwise(F.signum(v) * size).cast("long")
 
 
-def _narrowing(rows: DataFrame, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
-    group = list(by)
-    histogram = rows.groupBy(*group, _log_bucket(F.col("_v")).alias("_b")).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    # a group has at most some hundred thousand log buckets, however many rows it has
-    ordered = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+def _search(folded: DataFrame, probs: Mapping[str, float], keys: list[str]) -> DataFrame:
+    histogram = folded.groupBy(*keys, _log_bucket(F.col("_v")).alias("_b")).agg(
+        F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # a group has at most about a million log buckets, however many rows it has
+    ordered = W.partitionBy(*keys)
     counted = (
         histogram
         .withColumn("_end", F.sum("_n").over(ordered.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_n").over(ordered))
     )
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), side.alias("side"), rank.alias("rank"))
-        for name, p in probs.items()
-        for side, rank in (
-            (F.lit("below"), F.floor(F.lit(float(p)) * (F.col("_total") - 1))),
-            (F.lit("above"), F.ceil(F.lit(float(p)) * (F.col("_total") - 1))),
-        )
+        F.struct(F.lit(k).alias("name"), F.lit(side).alias("side"),
+                 turn(F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
+        for k, p in enumerate(probs.values()) for side, turn in ((0, F.floor), (1, F.ceil))
     ])
-    # an open target: a wanted rank, counted inside the interval [_lo, _hi]
-    targets = checkpointed(
+    # a target: a wanted rank, counted inside the interval [_lo, _hi]
+    begin = F.col("_end") - F.col("_n")
+    targets = stored(
         counted.withColumn("_t", F.explode(wanted))
-        .where((F.col("_t.rank") < F.col("_end")) & (F.col("_t.rank") >= F.col("_end") - F.col("_n")))
-        .select(*group, "_total", F.col("_t.name").alias("_name"), F.col("_t.side").alias("_side"),
-                (F.col("_t.rank") - (F.col("_end") - F.col("_n"))).alias("_rank"), "_lo", "_hi")
-    )
-    done = [targets.where("_lo = _hi")]
-    for _ in range(_ROUNDS):
-        targets = targets.where("_lo < _hi")
-        if targets.isEmpty():
-            break
-        targets = checkpointed(_look_closer(rows, targets, group))
-        done.append(targets.where("_lo = _hi"))
-    else:
-        raise RuntimeError("quantile search did not converge")
-
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
+        .where((F.col("_t.rank") < F.col("_end")) & (F.col("_t.rank") >= begin))
+        .select(*keys, "_total", F.col("_t.name").alias("_name"), F.col("_t.side").alias("_side"),
+                (F.col("_t.rank") - begin).alias("_rank"), "_lo", "_hi"), "targets")
+    done = targets.where("_lo = _hi")
+    open_targets = targets.where("_lo < _hi")
+    while not open_targets.isEmpty():
+        closer = stored(_look_closer(folded, open_targets, keys), "targets")
+        done = done.unionByName(closer.where("_lo = _hi"))
+        open_targets = closer.where("_lo < _hi")
+
+    sides = [
+        F.max(F.when((F.col("_name") == k) & (F.col("_side") == side), F.col("_lo"))).alias(f"_{k}_{side}")
+        for k in range(len(probs)) for side in (0, 1)
+    ]
     per_name = []
-    for name, p in probs.items():
+    for k, (name, p) in enumerate(probs.items()):
         position = F.lit(float(p)) * (F.col("n") - 1)
         share = position - F.floor(position)
-        per_name.append((F.col(f"_{name}_below") * (1 - share) + F.col(f"_{name}_above") * share).alias(name))
-    sides = [
-        F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col("_lo"))).alias(f"_{name}_{side}")
-        for name in probs for side in ("below", "above")
-    ]
-    return found.groupBy(*group).agg(F.max("_total").alias("n"), *sides).select(*group, "n", *per_name)
+        low, high = F.col(f"_{k}_0"), F.col(f"_{k}_1")
+        per_name.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
+    return done.groupBy(*keys).agg(F.max("_total").alias("n"), *sides).select(*keys, "n", *per_name)
 
 
-def _look_closer(rows: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+def _look_closer(folded: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Split every interval in view into parts and keep the part that holds the rank."""
-    # intervals of one group never overlap, so a row falls into one of them at most
-    intervals = targets.select(*group, "_lo", "_hi").distinct()
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    rows = rows.withColumn("_w", F.lit(1).cast("long"))
-    if not group:
-        # without groups there are at most two intervals per quantile: plain filters, no join
-        span = F
-        for lo, hi in intervals.collect():
-            span = span.when(F.col("_v").between(lo, hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
-        narrowed = rows.withColumn("_s", span).where("_s IS NOT NULL").select(
-            "_v", "_w", F.col("_s.lo").alias("_lo"), F.col("_s.hi").alias("_hi"))
-    else:
-        on = list(group)
-        if intervals.count() <= MAX_BROADCAST_ROWS:
-            intervals = F.broadcast(intervals)
-        else:
-            # many groups: fold copies first, then spread each group over the salts
-            rows = rows.groupBy(*group, "_v").agg(F.count("*").alias("_w"))
-            rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-            intervals = intervals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            on.append("_salt")
-        same = F.expr(" AND ".join(f"r.{c} <=> i.{c}" for c in on))
-        narrowed = rows.alias("r").join(intervals.alias("i"), same & inside).select(
-            *[F.col(f"r.{g}").alias(g) for g in group], "_v", "_w", "_lo", "_hi")
-    part = F.least(
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _PARTS), F.lit(_PARTS - 1)
-    )
-    interval = [*group, "_lo", "_hi"]
-    parts = narrowed.groupBy(*interval, part.alias("_p")).agg(
-        F.sum("_w").alias("_n"), F.min("_v").alias("_new_lo"), F.max("_v").alias("_new_hi")
-    )
+    # intervals of one group never overlap, so a value falls into one of them at most
+    intervals = targets.select(*keys, "_lo", "_hi").distinct()
+    named = [F.col(k).alias(f"i{k}") for k in keys]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"i{k}"))
+    inside = folded.join(intervals.select(*named, "_lo", "_hi"), same & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    # halves keep the width finite
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    part = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), _PARTS).otherwise(
+        F.least(F.floor(share * _PARTS), F.lit(_PARTS - 1)))
+    interval = [*keys, "_lo", "_hi"]
+    parts = inside.groupBy(*interval, part.alias("_p")).agg(
+        F.sum("_w").alias("_n"), F.min("_v").alias("_new_lo"), F.max("_v").alias("_new_hi"))
     running = W.partitionBy(*interval).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
-    parts = parts.withColumn("_end", F.sum("_n").over(running))
-    same = F.expr(" AND ".join(f"t.{c} <=> p.{c}" for c in interval))
-    holds = (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))
-    return targets.alias("t").join(parts.alias("p"), same & holds).select(
-        *[F.col(f"t.{g}").alias(g) for g in group], "_total", "_name", "_side",
-        (F.col("_rank") - (F.col("_end") - F.col("_n"))).alias("_rank"),
-        F.col("_new_lo").alias("_lo"), F.col("_new_hi").alias("_hi"),
-    )
+    parts = parts.withColumn("_end", F.sum("_n").over(running)).select(
+        *[F.col(k).alias(f"p{k}") for k in interval], "_n", "_new_lo", "_new_hi", "_end")
+    match = F.lit(True)
+    for k in interval:
+        match = match & F.col(k).eqNullSafe(F.col(f"p{k}"))
+    begin = F.col("_end") - F.col("_n")
+    return targets.join(parts, match & (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= begin)).select(
+        *keys, "_total", "_name", "_side", (F.col("_rank") - begin).alias("_rank"),
+        F.col("_new_lo").alias("_lo"), F.col("_new_hi").alias("_hi"))

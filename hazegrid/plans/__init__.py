@@ -1 +1 @@
-"""Sizing decisions and end-to-end plans made of the operators."""
+"""Jobs put together from several operators."""

@@ -40,19 +40,24 @@ def as_flag(name: str) -> Column:
 
 
 def first_available(spark: SparkSession, paths: Sequence[str], any_of_cols: Sequence[str],
-                    fmt: str = "parquet") -> tuple[str, DataFrame]:
+                    fmt: str = "parquet", schema: str | None = None) -> tuple[str, DataFrame]:
     """The first source in the list that exists and has one of the columns.
 
-    Looks at paths and schemas only; no rows are read.
+    Looks at paths and schemas only; no rows are read.  A path that is absent is
+    passed over, a source that cannot be read raises.  Text formats without a
+    ``schema`` come back as strings.
     """
     for path in paths:
         try:
+            # a text source's own header says which columns it has
             reader = spark.read.option("header", True) if fmt == "csv" else spark.read
             df = reader.format(fmt).load(path)
-        except AnalysisException:
-            continue
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
         if any(c in df.columns for c in any_of_cols):
-            return path, df
+            return path, read_table(spark, path, schema, fmt) if schema else df
     raise LookupError(f"no source among {list(paths)} has one of {list(any_of_cols)}")
 
 
@@ -78,8 +83,10 @@ def latest_file(spark: SparkSession, folders: Sequence[str], pattern: str) -> st
                 spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
                 .select("path", "modificationTime")
             )
-        except AnalysisException:
-            continue
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
         listings.append(found)
     if not listings:
         raise LookupError(f"none of {list(folders)} exists")

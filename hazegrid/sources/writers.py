@@ -12,13 +12,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
     """Write a result table, partitioned on request.
 
+    ``overwrite`` replaces the whole table, ``overwrite_partitions`` only the
+    partitions that the rows fall into, ``append`` adds.
+
     Before a partitioned write the rows are rebalanced on the partition
     columns: adaptive execution joins small pieces into whole files and splits
     a partition value that holds a large share of the rows.
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = df.write.mode(mode).format(fmt)
+    if mode == "overwrite_partitions":
+        if not partition_by:
+            raise ValueError("overwrite_partitions needs partition columns")
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    else:
+        writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
