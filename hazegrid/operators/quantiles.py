@@ -43,8 +43,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
 
 
 def _log_bucket(v: Column) -> Column:
-    size = F.floor(F.log1p(F.abs(v) / _LOG_UNIT) * _LOG_STEPS)
-    return F.when(F.abs(v) == float("inf"), F.signum(v) * F.lit(1e9)).otherwise(F.signum(v) * size).cast("long")
+    # the largest doubles overflow in the division and share one bucket below the infinities
+    size = F.least(F.log1p(F.abs(v) / _LOG_UNIT) * _LOG_STEPS, F.lit(1e8))
+    return F.when(F.abs(v) == float("inf"), F.signum(v) * F.lit(1e9)).otherwise(F.signum(v) * F.floor(size)).cast("long")
 
 
 def _search(folded: DataFrame, probs: Mapping[str, float], keys: list[str]) -> DataFrame:

@@ -359,11 +359,14 @@ def _box_join(s, d):
     return fusion.box_join(_V.locations(s, d), boxes, 0.5).select("station_id", "box", F.col("priority").cast("double").alias("priority"))
 
 
-_START = F.lit("2024-06-01 12:00:00").cast("timestamp")
+def _start() -> Column:
+    return F.lit("2024-06-01 12:00:00").cast("timestamp")
+
+
 _DAYS = ", days AS (SELECT *, TIMESTAMP '2024-06-01 12:00:00' + CAST(n AS INT) * INTERVAL 1 DAY AS datetime FROM locations, range(5) t(n))"
 
 query("forecast_calendar", _DAYS + f" SELECT station_id, CAST(n AS INT) AS day_number, strftime(datetime, {_FMT}) AS datetime FROM days")(
-    lambda s, d: forecast.expand_days(_V.locations(s, d), _START, 5).select("station_id", "day_number", _stamp("datetime").alias("datetime")))
+    lambda s, d: forecast.expand_days(_V.locations(s, d), _start(), 5).select("station_id", "day_number", _stamp("datetime").alias("datetime")))
 
 # --- E: statistics ----------------------------------------------------------------
 
@@ -494,16 +497,16 @@ _TEMPS = "CASE season " + " ".join(f"WHEN {i} THEN {t}e0" for i, (t, _) in enume
 _HUMID = "CASE season " + " ".join(f"WHEN {i} THEN {h}e0" for i, (_, h) in enumerate(fixed.SEASON_BASE, 1)) + " END"
 _FEATURES = _DAYS + f", feat AS (SELECT *, {_sql_season('month(datetime)', 'monsoon')} AS season, {_sql_zone_value(1)} AS aod0, {_sql_zone_value(2)} AS wind_speed_10m, {_sql_zone_value(3)} AS blh FROM days), fx AS (SELECT *, {_TEMPS} AS t2m_celsius, {_HUMID} AS r2m FROM feat)"
 query("baseline_features", _FEATURES + f" SELECT station_id, strftime(datetime, {_FMT}) AS datetime, season, aod0 AS aod_550, wind_speed_10m, blh, t2m_celsius, r2m FROM fx")(
-    lambda s, d: forecast.baseline_features(forecast.expand_days(_V.locations(s, d), _START, 5)).select("station_id", _stamp("datetime").alias("datetime"), "season", "aod_550", "wind_speed_10m", "blh", "t2m_celsius", "r2m"))
+    lambda s, d: forecast.baseline_features(forecast.expand_days(_V.locations(s, d), _start(), 5)).select("station_id", _stamp("datetime").alias("datetime"), "season", "aod_550", "wind_speed_10m", "blh", "t2m_celsius", "r2m"))
 _DAILY = _FEATURES + f", ramp AS (SELECT *, least(2e0, aod0 + least(0.3e0, n * 0.1e0)) AS aod_550 FROM fx), daily AS (SELECT station_id, datetime, {_clamped(_LINEAR, 5, 500)} AS pm FROM ramp), fd AS (SELECT *, CAST(trunc({_sql_aqi('pm')}) AS INT) AS aqi FROM daily)"
 query("forecast_daily", _DAILY + f" SELECT station_id, strftime(datetime, {_FMT}) AS datetime, round(pm, 6) AS pm2_5, aqi, {_sql_cpcb('pm')} AS category FROM fd")(
-    lambda s, d: forecast.forecast(_V.locations(s, d), _START, 5).select("station_id", _stamp("datetime").alias("datetime"), _r("pm2_5").alias("pm2_5"), "aqi", "category"))
+    lambda s, d: forecast.forecast(_V.locations(s, d), _start(), 5).select("station_id", _stamp("datetime").alias("datetime"), _r("pm2_5").alias("pm2_5"), "aqi", "category"))
 query("forecast_summary", _DAILY + f" SELECT station_id, round(avg(pm), 6) AS mean_pm, round(max(pm), 6) AS peak_pm, round(avg(aqi), 6) AS mean_aqi, strftime(arg_min(datetime, (-pm, datetime)), '%Y-%m-%d') AS worst_day, {_sql_ladder('avg(pm)', 'forecast')} AS advisory_level, max(pm) > 120 AS alert FROM fd GROUP BY 1")(
-    lambda s, d: _rounded(forecast.forecast_summary(forecast.forecast(_V.locations(s, d), _START, 5), "station_id").withColumn("worst_day", F.date_format("worst_day", "yyyy-MM-dd")), "mean_pm", "peak_pm", "mean_aqi"))
+    lambda s, d: _rounded(forecast.forecast_summary(forecast.forecast(_V.locations(s, d), _start(), 5), "station_id").withColumn("worst_day", F.date_format("worst_day", "yyyy-MM-dd")), "mean_pm", "peak_pm", "mean_aqi"))
 query("worst_day", f"SELECT station_id, strftime(datetime, {_FMT}) AS datetime, pm2_5 FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY pm2_5 DESC, datetime) AS rn FROM readings) WHERE rn = 1")(
     lambda s, d: ranking.worst_row(_V.readings(s, d).select("station_id", "datetime", "pm2_5"), "pm2_5", "datetime", ["station_id"]).withColumn("datetime", _stamp("datetime")).select("station_id", "datetime", "pm2_5"))
 query("city_status", _FEATURES + f", c AS (SELECT *, aod0 AS aod_550 FROM fx WHERE n = 0), p AS (SELECT *, {_clamped(_LINEAR, 5, 500)} AS pm FROM c), s AS (SELECT city.name AS city, avg(pm) AS pm FROM p JOIN city ON station_id % 2 = 0 AND i = (station_id // 2) % 10 GROUP BY 1) SELECT city, round(pm, 6) AS pm2_5, CAST(trunc({_sql_aqi('pm')}) AS INT) AS aqi, {_sql_cpcb('pm')} AS category FROM s")(
-    lambda s, d: forecast.forecast(_V.locations(s, d).where("station_id % 2 = 0"), _START, 1).groupBy(
+    lambda s, d: forecast.forecast(_V.locations(s, d).where("station_id % 2 = 0"), _start(), 1).groupBy(
         F.element_at(F.array(*[F.lit(c[0]) for c in fixed.CITIES]), (F.floor(F.col("station_id") / 2) % 10 + 1).cast("int")).alias("city")
     ).agg(F.avg("pm2_5").alias("pm")).select("city", _r("pm").alias("pm2_5"), cpcb_aqi("pm").cast("int").alias("aqi"), cpcb_category("pm").alias("category")))
 
