@@ -6,14 +6,6 @@ breakpoints, coordinates, colours.  Logic lives elsewhere.
 
 from __future__ import annotations
 
-# --- Fixed values: model features, in scoring order -------------------------
-FEATURES = [
-    "aod_550", "t2m_celsius", "wind_speed_10m", "r2m", "blh",
-    "lat_cos", "lat_sin", "lon_cos", "lon_sin", "hour", "month", "season",
-]
-TARGET = "pm2_5"
-TARGET_NAMES = ["actual_pm2_5", "pm2_5"]
-
 # --- Fixed values: national bounds and excluded zones -----------------------
 NATIONAL_BOUNDS = {"lat_min": 8.0, "lat_max": 37.0, "lon_min": 68.0, "lon_max": 97.0}
 VALIDATION_BOUNDS = {"lat_min": 8.0, "lat_max": 37.0, "lon_min": 68.0, "lon_max": 97.25}

@@ -1,8 +1,13 @@
+import json
+import math
+
 import pytest
 from pyspark.sql import SparkSession
 
 from hazegrid import session
-from hazegrid.sources import readers, writers
+from hazegrid.functions import fixed
+from hazegrid.operators import stats
+from hazegrid.sources import readers, schemas, writers
 from hazegrid.streaming import readings as streams
 
 
@@ -64,3 +69,29 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
 def test_latest_keeps_the_newest(spark):
     frame = spark.createDataFrame([(1, 5, 1.0), (1, 7, 2.0), (2, 1, 3.0), (1, 7, 1.5)], "s int, t int, v double")
     assert sorted(tuple(r) for r in streams.latest_per_location(frame, ["s"], "t").collect()) == [(1, 7, 2.0), (2, 1, 3.0)]
+
+
+def test_declared_schema_and_clean_readings(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(
+        "datetime,station_name,state,city,station_latitude,station_longitude,pm2_5,pm10,no2,so2,has_ground_truth\n"
+        "2025-07-18 17:44:02.242233,A,S,C,12.9,77.6,NaN,80.5,,-1.0,True\n2025-07-18 20:44:02,B,S,C,28.6,77.2,41.5,,2.0,3.0,0\n")
+    raw = readers.read_table(spark, str(tmp_path / "s.csv"), schemas.STATIONS, "csv")
+    rows = {r["station_name"]: r for r in readers.clean_readings(raw).collect()}
+    assert rows["A"]["pm2_5"] is None and rows["A"]["has_ground_truth"] is True and rows["A"]["no2"] is None
+    assert rows["B"]["has_ground_truth"] is False and rows["A"]["datetime"].microsecond == 242233
+
+
+def test_latest_file_report_and_document(spark, tmp_path):
+    frame = spark.createDataFrame([("g", "2024-01-01", 1.0, 2.0, None)], "grid_id string, datetime string, latitude double, longitude double, pm2_5 double")
+    report = writers.write_report(stats.quality_report(frame), str(tmp_path / "report"))
+    lines = [r[0] for r in spark.read.text(report).collect()]
+    assert "size | records: 1.0" in lines and "missing | pm2_5: 1.0" in lines and not any("missing | grid_id" in x for x in lines)
+    newest = readers.latest_file(spark, [str(tmp_path / "report"), str(tmp_path / "absent")], "part-*")
+    assert "part-" in newest
+    metrics = spark.createDataFrame([(1.0, 2.0, 0.5, 7)], "mae double, rmse double, r2 double, n long")
+    document = json.loads(writers.as_json(writers.metrics_document(metrics, "m", ["a", "b"], {"p": 1.0})).first()[0])
+    assert document["best_model"]["parameters"] == {"p": 1.0} and document["dataset_info"]["features_used"] == ["a", "b"]
+
+
+def test_full_grids_have_their_size():
+    assert math.prod(map(len, fixed.FOREST_GRID.values())) == 108 and math.prod(map(len, fixed.BOOSTED_GRID.values())) == 243
