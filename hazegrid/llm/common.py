@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 #: a worker forgets its cached words beyond this many; results do not depend on it
 CACHE_WORDS = 1_000_000
-#: longer chunks are computed each time
+#: the same for word hashes, which are cheap to make again
+CACHE_HASHES = 200_000
+#: longer words are hashed each time
 CACHE_BYTES = 48
 
 _MUL1 = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +64,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_HASHES:
                 self.clear()
             self[word] = value
         return value
@@ -153,6 +155,50 @@ def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
+# --- bit maps -----------------------------------------------------------------
+
+#: bits of a map over hashes, as a power of two: 8 MB
+MAP_BITS = 26
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Map of fixed size over the first column, 64-bit hashes: at most 2^(MAP_BITS - 6) rows come to the driver.
+
+    It answers "surely not" or "perhaps"; more hashes make "perhaps" likelier and
+    the map no larger.
+    """
+    name = hashes.columns[0]
+    place = F.shiftrightunsigned(F.col(name), 64 - MAP_BITS)
+    rows = hashes.select(
+        F.shiftright(place, 6).alias("word"),
+        F.expr(f"shiftleft(1L, int(shiftrightunsigned(`{name}`, {64 - MAP_BITS}) & 63))").alias("bit")
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (MAP_BITS - 6), "<i8")
+    for batch in rows.toArrow().to_batches():
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of the documents that a join with ``ids`` can meet, and perhaps a few more.
+
+    Drops the others where they are read, so that a join moves only texts in question.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.xxhash64(ids.columns[0]).alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array(in_map(bits.value, batch.column("_h").to_numpy()))
+            yield batch.select(["doc_id", "text"]).filter(kept)
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_h")).mapInArrow(run, "doc_id long, text string")
+
+
 # --- tokens ------------------------------------------------------------------
 
 class Encoder:

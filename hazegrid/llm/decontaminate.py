@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import _WORD_HASHES, raw_texts, shingles, slices
+from .common import _WORD_HASHES, bit_map, in_map, raw_texts, shingles, slices
 
 SEED = 5
 COVERAGE = 0.5
-#: bits of the seed map, as a power of two: 8 MB
-MAP_BITS = 26
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -152,8 +150,7 @@ def _document_seeds(bits, least: int):
             for batch in slices(whole, "text", 8 << 20):
                 values, counts = tokens(raw_texts(batch.column("text")))
                 seeds, per = shingles(values, counts, least)
-                place = (seeds >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                hit = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(in_map(seen, seeds))
                 if len(hit):
                     owner = np.repeat(np.arange(len(per)), per)[hit]
                     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner]
@@ -183,18 +180,6 @@ def _tiled(least: int):
     return run
 
 
-def seed_map(seeds: DataFrame) -> np.ndarray:
-    """The bit map over seed hashes: at most 2^(MAP_BITS - 6) rows come to the driver."""
-    place = F.shiftrightunsigned(F.col("seed"), 64 - MAP_BITS)
-    rows = seeds.select(
-        F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(seed, {64 - MAP_BITS}) & 63))").alias("bit")
-    ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (MAP_BITS - 6), "<i8")
-    for batch in rows.toArrow().to_batches():
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
 def overlaps(docs: DataFrame, items: DataFrame, least: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """Tiled coverage of items by documents: ``doc_id``, ``item_id``, ``n_tokens``, ``n_covered``.
 
@@ -208,7 +193,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = SEED, coverage: flo
     seeds = stored(
         items.mapInArrow(_item_seeds(least), "seed long, item_id long, n_tokens long")
         .groupBy("seed", "item_id").agg(F.count("*").alias("_w"), F.max("n_tokens").alias("n_tokens")), "seeds")
-    bits = spark.sparkContext.broadcast(seed_map(seeds))
+    bits = spark.sparkContext.broadcast(bit_map(seeds.select("seed")))
     hits = docs.mapInArrow(_document_seeds(bits, least), "doc_id long, seed long")
     # tiles cover c tokens with c / least seeds at the very least
     candidates = stored(

@@ -13,11 +13,14 @@ At a similarity of 0.75 the 40 bands miss a pair with probability
 (1 - 0.75^4)^40 < 3e-7, and a pair needs no band of its own if its texts are
 linked over others.
 
-Texts with equal sets form one class first.  Every text of a bucket is compared
-with the smallest one there; after that only buckets with texts of different
-components matter, and there all pairs are compared by their registers, in
-square blocks of a bounded number of texts.  So a large group of copies costs
-one comparison per text and bucket, and no bucket stands in one task.
+Texts with equal sets form one class first.  Every text of a band's bucket is
+compared with the one there that shares buckets with the most texts, which in a
+group of edited copies is the original or nearest to it.  After that only
+buckets with texts of different components matter.  There every pair from
+different components is compared, first by registers, then by 32-bit shingle
+sets, in blocks of a bounded number of texts; a block names one pair for each
+two components it joins, so the output does not grow with the square of a
+bucket, and those pairs are confirmed on the full sets again.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import components, flatten_sets, in_groups, mix, raw_texts, shingles, slices, word_hashes
+from .common import components, flatten_sets, in_groups, mix, narrowed, raw_texts, shingles, slices, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -39,7 +42,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: chance that two different minima share a register, times 2^MANTISSA (HyperMinHash, large sets)
 COLLISION = 0.1699194871597391
-SIGMAS = 6.0
+SIGMAS = 5.0
 #: texts per side of a block of comparisons
 BLOCK = 512
 #: members of a candidate star that are verified in one group
@@ -105,7 +108,7 @@ def hopeless(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 hashes, sizes = flatten_sets(*shingles(*word_hashes(raw_texts(batch.column("text"))), words))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(3)))])
@@ -138,30 +141,90 @@ def _estimated(percent: int):
 
 def _block_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in in_groups(batches, ["_key", "_i", "_j"]):
+        for group in in_groups(batches, ["_key", "_t", "_i", "_j"]):
             node, part, comp, size = (group.column(c).to_numpy() for c in ("node", "_part", "_comp", "_n"))
+            major = group.column("_major").to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(group.column("_registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            sets = [np.frombuffer(x, np.uint32) for x in group.column("_set").to_pylist()]
+            kind, i, j = (group.column(c)[0].as_py() for c in ("_t", "_i", "_j"))
+            if kind == 0:
+                left, right = np.flatnonzero(~major), np.flatnonzero(major)
+            else:
+                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while joined.get(c, c) != c:
+                    c = joined[c]
+                return c
+
             found_a, found_b = [], []
             for x in left:
-                y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
-                if len(y):
-                    y = y[~hopeless((sketch[y] == sketch[x]).sum(axis=1), size[y], size[x], percent)]
-                    found_a.append(np.minimum(node[y], node[x]))
-                    found_b.append(np.maximum(node[y], node[x]))
+                y = right[comp[right] != comp[x]]
+                if kind and i == j:
+                    y = y[node[y] > node[x]]
+                y = y[~hopeless((sketch[y] == sketch[x]).sum(axis=1), size[y], size[x], percent)]
+                for k in y.tolist():
+                    p, q = root(int(comp[x])), root(int(comp[k]))
+                    if p == q:
+                        continue
+                    both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[k]) - both):
+                        joined[max(p, q)] = min(p, q)
+                        found_a.append(int(min(node[x], node[k])))
+                        found_b.append(int(max(node[x], node[k])))
             if found_a:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                    [pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _short_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                hashes, per = shingles(*word_hashes(raw_texts(batch.column("text"))), words)
+                short, sizes = flatten_sets(hashes & np.uint64(0xFFFFFFFF), per)
+                raw = short.astype(np.uint32).tobytes()
+                ends = (4 * np.concatenate([[0], np.cumsum(sizes)])).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), pa.array([raw[p:q] for p, q in zip(ends, ends[1:])], pa.binary())],
+                    names=["node", "_set"])
 
     return run
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deal the texts of mixed buckets out to blocks so that every pair from different components meets once.
+
+    The commonest component of a bucket needs no pairs inside; the other texts
+    meet it in blocks of kind 0 and each other in blocks of kind 1.  A block has
+    about ``BLOCK`` texts a side.
+    """
+    rows = rows.withColumns({
+        "_major": F.col("_comp") == F.col("_most"),
+        "_p": F.ceil(F.col("_in_most") / BLOCK).cast("int"),
+        "_q": F.ceil((F.col("_size") - F.col("_in_most")) / BLOCK).cast("int")})
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("_major"), F.col("_p")).otherwise(F.col("_q"))).cast("int")
+    rows = rows.withColumn("_part", own)
+
+    def place(kind: int, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_t"), i.cast("int").alias("_i"), j.cast("int").alias("_j"))
+
+    across_major = F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda q: place(0, F.col("_part"), q))
+    across_minor = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda p: place(0, p, F.col("_part")))
+    among = F.transform(F.sequence(F.lit(0), F.col("_q") - 1),
+                        lambda o: place(1, F.least("_part", o), F.greatest("_part", o)))
+    to = F.when(F.col("_major"), across_major).otherwise(F.concat(across_minor, among))
+    return rows.withColumn("_to", F.explode(to)).select("_key", "_to.*", "node", "_part", "_comp", "_major")
+
+
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center, have = None, None
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 hashes, sizes = flatten_sets(*shingles(*word_hashes(raw_texts(batch.column("text"))), words))
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 out_a, out_b = [], []
@@ -187,6 +250,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
     others stream by; a text with many partners is cut into groups of about
     ``STAR``, each with a copy of its text.
     """
+    docs = narrowed(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     fans = pairs.groupBy("a").agg(F.count("*").alias("_fan"))
     salted = pairs.join(fans, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_fan") / STAR)).cast("int").alias("_salt"))
@@ -221,11 +285,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     bands = classes.select("node", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(_registers, i * {2 * ROWS} + 1, {2 * ROWS})))"
     )).alias("_band", "_key")).drop("_band")
-    shared = bands.groupBy("_key").agg(F.min("node").alias("a"), F.count("*").alias("_size")).where("_size > 1")
+    shared = bands.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
     members = stored(bands.join(shared, "_key"), "bands")
 
     registered = classes.select("node", F.col("n_shingles").alias("_n"), "_registers")
-    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    company = members.groupBy("node").agg(F.sum("_size").alias("_company"))
+    centers = members.join(company, "node").groupBy("_key").agg(
+        F.max(F.struct("_company", (-F.col("node")).alias("_m"))).alias("_c")).select("_key", (-F.col("_c._m")).alias("a"))
+    stars = members.join(centers, "_key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     sides = stars.join(
         registered.select(F.col("node").alias("a"), F.col("_n").alias("_na"), F.col("_registers").alias("_ra")), "a"
     ).join(
@@ -235,19 +302,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = stored(confirmed(pairs, docs, words, percent), "links")
     found = stored(components(links), "components")
 
-    # buckets of three or more texts that still hold several components: all their pairs
+    # buckets of three or more texts that still hold several components: all pairs across components
     open_members = members.where("_size > 2").join(found, "node", "left").select(
         "_key", "node", F.coalesce("component", "node").alias("_comp"))
-    mixed = open_members.groupBy("_key").agg(
-        F.count("*").alias("_size"), F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low < _high")
-    parted = open_members.join(mixed.select("_key", "_size"), "_key").withColumns({
-        "_parts": F.ceil(F.col("_size") / BLOCK).cast("int")}).withColumn(
-        "_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).join(registered, "node")
-    blocks = parted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(
-        "_key", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"),
-        "node", "_part", "_comp", "_n", "_registers")
-    rest = blocks.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(
-        _block_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    counted = open_members.groupBy("_key", "_comp").agg(F.count("*").alias("_k"))
+    mixed = counted.groupBy("_key").agg(
+        F.count("*").alias("_comps"), F.sum("_k").alias("_size"), F.max(F.struct("_k", "_comp")).alias("_m")
+    ).where("_comps > 1").select("_key", "_size", F.col("_m._k").alias("_in_most"), F.col("_m._comp").alias("_most"))
+    rows = stored(open_members.join(mixed, "_key"), "mixed")
+    wanted = stored(rows.select("node").distinct(), "wanted")
+    short = wanted.join(narrowed(docs, wanted).withColumnRenamed("doc_id", "node"), "node").mapInArrow(
+        _short_sets(words), "node long, _set binary")
+    sketched = stored(wanted.join(registered, "node").join(short, "node"), "short")
+    blocks = _blocks(rows).join(sketched, "node").repartition("_key", "_t", "_i", "_j").sortWithinPartitions(
+        "_key", "_t", "_i", "_j")
+    rest = blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
     more = stored(confirmed(stored(rest, "rest"), docs, words, percent), "more")
     merged = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
