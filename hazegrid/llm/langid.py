@@ -121,27 +121,29 @@ def _score(model, id_name: str):
     return run
 
 
-def _shares(scored: DataFrame, key: str, n: int, above: Column | Sequence[float]) -> DataFrame:
-    """Counts of the texts' own languages per ``key``, in one array."""
+def _counts(scored: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows per value of ``key`` whose text looks like each language, ``_c0`` to ``_c<n-1>``."""
     return scored.where(F.col(key).isNotNull() & F.col("_top").isNotNull()).groupBy(key).agg(
         *[F.sum((F.col("_top") == i).cast("double")).alias(f"_c{i}") for i in range(n)])
 
 
-def _array(names: list[Column]) -> Column:
-    return F.array(*names)
-
-
-def _given_language(scored: DataFrame, key: str, n: int, out: str) -> DataFrame:
+def _given_language(scored: DataFrame, key: str, base: Sequence[int], out: str) -> DataFrame:
     """log P(value | language) of each value of ``key``: its share among the texts that look like the language.
 
     Half a row is added to each count and the totals run over all rows, those
     without a value included, so a value seen once says little.
     """
-    counts = _shares(scored, key, n, [])
-    totals = scored.where(F.col("_top").isNotNull()).groupBy().agg(
-        *[F.sum((F.col("_top") == i).cast("double")).alias(f"_t{i}") for i in range(n)])
-    return counts.join(F.broadcast(totals)).select(key, _array([
-        F.log((F.col(f"_c{i}") + 0.5) / (F.coalesce(f"_t{i}", F.lit(0.0)) + 1.0)) for i in range(n)]).alias(out))
+    return _counts(scored, key, len(base)).select(key, F.array(*[
+        F.log((F.col(f"_c{i}") + 0.5) / F.lit(total + 1.0)) for i, total in enumerate(base)]).alias(out))
+
+
+def _smoothed(level: DataFrame, above: Sequence[Column], out: str) -> DataFrame:
+    """Shares of each language at one level, pulled towards those of the level above."""
+    n = len(above)
+    size = sum((F.col(f"_c{i}") for i in range(1, n)), F.col("_c0"))
+    return level.withColumn(out, F.array(*[
+        (F.col(f"_c{i}") + F.lit(PULL) * above[i]) / (size + F.lit(PULL)) for i in range(n)])).drop(
+        *[f"_c{i}" for i in range(n)])
 
 
 def identify(rows: DataFrame, model: TextModel, id_name: str = "doc_id",
@@ -168,27 +170,23 @@ def identify(rows: DataFrame, model: TextModel, id_name: str = "doc_id",
     base = [next((r["count"] for r in whole if r["_top"] == i), 0) for i in range(n)]
     shares = [(c + 1.0) / (total + n) for c in base]
 
-    def smoothed(level: DataFrame, key: str, above: list[Column], out: str) -> DataFrame:
-        size = sum((F.col(f"_c{i}") for i in range(1, n)), F.col("_c0"))
-        return level.select(*[c for c in level.columns if not c.startswith(("_c", "_p"))], _array([
-            (F.col(f"_c{i}") + F.lit(PULL) * above[i]) / (size + F.lit(PULL)) for i in range(n)]).alias(out))
-
-    domains = smoothed(_shares(scored, "domain", n, []), "domain", [F.lit(s) for s in shares], "_domain")
+    corpus = [F.lit(s) for s in shares]
+    domains = _smoothed(_counts(scored, "domain", n), corpus, "_domain")
     parents = scored.where("host IS NOT NULL").groupBy("host").agg(F.min("domain").alias("domain"))
-    hosts = _shares(scored, "host", n, []).join(parents, "host").join(domains, "domain", "left")
-    hosts = hosts.withColumn("_up", F.coalesce("_domain", _array([F.lit(s) for s in shares])))
-    hosts = smoothed(hosts, "host", [F.col("_up")[i] for i in range(n)], "_host").select("host", "_host")
-    declared = _given_language(scored, "declared", n, "_declared")
-    suffixes = _given_language(scored, "suffix", n, "_suffix")
+    hosts = _counts(scored, "host", n).join(parents, "host").join(domains, "domain", "left").withColumn(
+        "_up", F.coalesce("_domain", F.array(*corpus)))
+    hosts = _smoothed(hosts, [F.col("_up")[i] for i in range(n)], "_host").select("host", "_host")
+    declared = _given_language(scored, "declared", base, "_declared")
+    suffixes = _given_language(scored, "suffix", base, "_suffix")
 
     joined = scored.join(hosts, "host", "left").join(domains, "domain", "left").join(
         declared, "declared", "left").join(suffixes, "suffix", "left")
-    flat = _array([F.lit(0.0)] * n)
-    prior = F.coalesce("_host", "_domain", _array([F.lit(s) for s in shares]))
+    flat = F.array(*[F.lit(0.0)] * n)
+    prior = F.coalesce("_host", "_domain", F.array(*corpus))
     weight = F.col("n_trigrams") / (1 + F.col("n_trigrams") / F.lit(SATURATION))
     joined = joined.withColumns({
         "_prior": prior, "_d": F.coalesce("_declared", flat), "_s": F.coalesce("_suffix", flat), "_w": weight})
-    logs = joined.withColumn("_log", _array([
+    logs = joined.withColumn("_log", F.array(*[
         F.col("_text")[i] * F.col("_w") + F.log(F.col("_prior")[i]) + F.col("_d")[i] + F.col("_s")[i] for i in range(n)]))
     best = F.array_max("_log")
     names = F.array(*[F.lit(x) for x in model.languages])
