@@ -93,7 +93,9 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     if baskets.isEmpty():
         return spark.createDataFrame([], "rule_tokens array<string>, confidence double, lift double, support double")
     support = min(1.0, max(min_support, MIN_ROWS / baskets.count()))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    # each partition grows the trees of its own items; the table of baskets alone may have few
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=parts).fit(baskets)
     block = F.array(F.lit(_LABEL + BLOCK))
     found = model.associationRules.where((F.col("consequent") == block) & (F.col("lift") >= min_lift)).select(
         F.sort_array("antecedent").alias("rule_tokens"), "confidence", "lift", "support")
