@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -42,7 +44,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``limit`` bytes of text; one row may exceed it."""
     sizes = np.array([len(b) if b is not None else 0 for b in batch.column(column).cast(pa.binary()).to_pylist()])
     if sizes.sum() <= limit:
@@ -287,11 +289,22 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process for a tokenizer file."""
+    _WORD_HASHES.clear()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def free_encoders() -> None:
+    """Give up the encoders of this worker process, which other operators may have used before."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import _WORD_HASHES, bit_map, in_map, raw_texts, shingles, slices
+from .common import _WORD_HASHES, bit_map, free_encoders, in_map, raw_texts, shingles, slices
 
 SEED = 5
 COVERAGE = 0.5
@@ -145,6 +145,7 @@ def _item_seeds(least: int):
 
 def _document_seeds(bits, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         seen = bits.value
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):

@@ -175,7 +175,7 @@ def _text_list(column: pa.Array) -> list[str]:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 16 << 20):
             texts = _text_list(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(fingerprint_texts(texts))],
@@ -203,7 +203,7 @@ def edited(text: str, following: str) -> str:
 def _against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, str, bool]] = []
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 16 << 20):
             held += zip(batch.column("doc_id").to_pylist(), _text_list(batch.column("text")),
                         batch.column("_guest").to_pylist())
             texts = [t for _, t, _ in held]

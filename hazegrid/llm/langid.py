@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import raw_texts, slices
+from .common import free_encoders, raw_texts, slices
 
 BUCKETS = 1 << 15
 #: more languages than this are refused
@@ -51,6 +51,7 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts per language of one task, combined before they leave it."""
+    free_encoders()
     counts: dict[str, np.ndarray] = {}
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -106,6 +107,7 @@ def train_text_model(labelled: DataFrame) -> TextModel:
 
 def _score(model, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         fitted = model.value
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import components, flatten_sets, in_groups, mix, narrowed, raw_texts, shingles, slices, word_hashes
+from .common import components, flatten_sets, free_encoders, in_groups, mix, narrowed, raw_texts, shingles, slices, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -107,6 +107,7 @@ def hopeless(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 hashes, sizes = flatten_sets(*shingles(*word_hashes(raw_texts(batch.column("text"))), words))
@@ -182,6 +183,7 @@ def _block_pairs(percent: int):
 
 def _short_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 hashes, per = shingles(*word_hashes(raw_texts(batch.column("text"))), words)
@@ -222,6 +224,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         center, have = None, None
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):

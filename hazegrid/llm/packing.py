@@ -259,7 +259,7 @@ def _encode_pieces(path: str, end_id: int, capacity: int):
         tokens = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 doc_ids, pieces, starts, parts = [], [], [], []
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(raw_texts(batch.column("text")))):
                     ids += end

@@ -16,7 +16,7 @@ suffixes before its members into groups of their own; then the order inside
 each group follows from the order of the suffixes that come after, with no
 renaming round.
 
-Documents travel as blocks of about two megabytes, compressed.  A block sends
+Documents travel as blocks of about a megabyte, compressed.  A block sends
 its distinct anchors to buckets, which answer with one bit each: seen elsewhere
 or not.  It then sends its distinct units (core hash, outer bytes, smallest
 document) for the anchors seen, and gets four bits each: which windows a smaller
@@ -36,17 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import in_groups, mix, raw_texts
+from .common import free_encoders, in_groups, mix, raw_texts
 
 WINDOW = 50
 ANCHOR = 24
 PLACES = WINDOW - ANCHOR + 1
 UNIT = 4
 CORE = WINDOW - UNIT + 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: bytes of text per bucket of anchors or units
 BUCKET_BYTES = 8 << 20
-#: bits kept of a hash beyond those that choose the bucket
+#: beyond this many buckets (eight terabytes) the buckets grow instead
+MAX_BUCKET_BITS = 20
+#: bits sent of a hash whose first bits choose the bucket
 ANCHOR_BITS, UNIT_BITS = 40, 48
 
 
@@ -284,6 +286,7 @@ class Block:
 # --- jobs -----------------------------------------------------------------------
 
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_encoders()
     context = TaskContext.get()
     number = context.partitionId() << 32
     ids: list[int] = []
@@ -397,7 +400,7 @@ def _send_units(bucket_bits: int):
             bucket, order = block.entries(bucket_bits)
             unit = block.entry_unit[order]
             rows = np.empty(len(unit), _ENTRY)
-            kept = block.unit_hash[unit] >> np.uint64(64 - bucket_bits - UNIT_BITS)
+            kept = block.unit_hash[unit] & np.uint64((1 << UNIT_BITS) - 1)
             rows["hash"] = np.ascontiguousarray(kept).view(np.uint8).reshape(-1, 8)[:, :6]
             rows["outer"] = np.ascontiguousarray(block.unit_outer[unit]).view(np.uint8).reshape(-1, 8)[:, :7]
             docs = block.ids[block.unit_text[unit]]
@@ -511,7 +514,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     blocks = stored(rows.mapInArrow(_make_blocks, BLOCKS), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, total) / BUCKET_BYTES))))
+    bits = min(MAX_BUCKET_BITS, max(0, int(np.ceil(np.log2(max(1, total) / BUCKET_BYTES)))))
     n_buckets = 1 << bits
     light = blocks.drop("n_bytes")
 

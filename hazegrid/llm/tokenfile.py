@@ -170,7 +170,7 @@ def _encode_shards(path: str, end_id: int, shard_ids: int):
             return pa.RecordBatch.from_pydict(row)
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(raw_texts(batch.column("text")))):
                     docs.append(doc)
                     parts.append(ids + end)

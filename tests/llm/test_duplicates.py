@@ -130,6 +130,20 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     assert got == brute_repeats([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_codes_fit_the_largest_number_of_buckets():
+    raw = "".join(random.Random(3).choice("abcd") for _ in range(3000)).encode()
+    block = suffixdedup.Block(np.array([1, 2]), np.array([1500, 1500]), raw)
+    block.anchors()
+    block.units(np.arange(len(block.run_first)))
+    for bits in (0, 7, suffixdedup.MAX_BUCKET_BITS):
+        codes, _, number = block.anchor_codes(bits)
+        assert (codes[1:] > codes[:-1]).all() and len(number) == len(block.run_hash)
+        wanted = block.run_hash >> np.uint64(64 - bits) if bits else np.zeros(len(number), np.uint64)
+        assert (codes[number] >> np.uint64(suffixdedup.ANCHOR_BITS) == wanted).all()
+        bucket, order = block.entries(bits)
+        assert (bucket >= 0).all() and (bucket < 1 << bits).all() and (np.diff(bucket[order]) >= 0).all()
+
+
 def test_repeats_of_nothing_and_spans(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixdedup.remove_repeats(empty).count() == 0
