@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``limit`` bytes of text; one row may exceed it."""
-    sizes = np.array([len(b) if b is not None else 0 for b in batch.column(column).cast(pa.binary()).to_pylist()])
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     if sizes.sum() <= limit:
         if batch.num_rows:
             yield batch

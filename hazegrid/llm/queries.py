@@ -126,6 +126,26 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least USING (doc_id)
 """
 
-#: the others need a tokenizer, a fitted model, byte-wise windows or a random walk, which SQL cannot express;
+_OP7 = """
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS i FROM n WHERE n >= 50)),
+earliest AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN earliest ON w.s = earliest.s WHERE m < w.doc_id),
+turn AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM turn),
+gone AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, k),
+seg AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f, a AS t FROM gone
+  UNION ALL SELECT n.doc_id, coalesce(max(z), 1), any_value(n) + 1 FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id GROUP BY n.doc_id),
+kept AS (
+  SELECT seg.doc_id, string_agg(CASE WHEN t > f THEN hex(array_slice(b, f, t - 1)) ELSE '' END, '' ORDER BY f) AS h
+  FROM seg JOIN n ON seg.doc_id = n.doc_id GROUP BY seg.doc_id),
+sums AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM gone GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(h)) AS kept_sha256
+FROM n JOIN kept ON n.doc_id = kept.doc_id LEFT JOIN sums ON n.doc_id = sums.doc_id
+"""
+
+#: the others need a tokenizer, a fitted model, or a random walk, which SQL cannot express;
 #: tests compare them with brute force
-SQL: dict[str, str] = {"op3_minhash_near_dedup": _OP3}
+SQL: dict[str, str] = {"op3_minhash_near_dedup": _OP3, "op7_suffix_array_dedup": _OP7}
