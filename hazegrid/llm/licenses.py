@@ -130,8 +130,11 @@ def _scan(index, containment: float):
             for batch in slices(whole, "text", 4 << 20):
                 values, counts = tokens(raw_texts(batch.column("text")))
                 found, per_text = shingles(values, counts, SHINGLE)
-                # every text starts a block of its own; filler never matches
-                room = -(-per_text // BLOCK) * BLOCK
+                # every text starts on the grid of all windows, and filler parts it from the next one, so what is
+                # found does not depend on its neighbours
+                longest = max(known.bands, default=BLOCK)
+                grain = slide(longest)
+                room = np.where(per_text > 0, -(-per_text // grain) * grain + longest, 0)
                 begin = np.cumsum(room) - room
                 padded = np.full(int(room.sum()), _MAX)
                 owner = np.repeat(np.arange(len(per_text)), per_text)

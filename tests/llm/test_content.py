@@ -74,6 +74,20 @@ def test_license_windows_find_every_place(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_finds_do_not_depend_on_neighbours(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(60):
+        words = rng.choice(list(licenses.TEMPLATES.values())).split()
+        for _ in range(rng.randint(0, 12)):  # near the limit of containment
+            words.insert(rng.randrange(len(words)), "x")
+        rows.append((k, "w " * rng.randint(0, 40) + " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(tuple(r) for r in licenses.scan(d).collect()) for d in (docs.coalesce(1), docs.repartition(30), docs.orderBy(F.desc("doc_id")))]
+    assert found[0] == found[1] == found[2] and found[0]
+    assert licenses.scan(docs, {}).count() == 0
+
+
 def test_license_windows_cover_their_templates():
     for n in range(1, 400):
         length = licenses.window_length(n)
