@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,85 +205,47 @@ def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --- tokens ------------------------------------------------------------------
 
-class Encoder:
+class Encoder(dict):
     """Token ids of whole texts by a tokenizer file whose words never cross white space.
 
     The library encodes every distinct piece between ASCII white space once per
-    worker; a text's ids are those of its pieces in a row.  That holds for a
-    tokenizer that drops white space before its merges and lower-cases, as
-    ``word_bpe_49k.json`` does; texts that hold ``<|`` (the opening of a special
-    token) go to the library whole.
+    worker and this dictionary remembers it; a text's ids are those of its pieces
+    in a row.  That holds for a tokenizer that drops white space before its merges
+    and lower-cases, as ``word_bpe_49k.json`` does; texts that hold ``<|`` (the
+    opening of a special token) go to the library whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.cache: dict[bytes, bytes] = {}
-        self.separator = self._plain("|")
-        if len(self.separator) != 1:
-            raise ValueError("the tokenizer has no single id for '|'")
-
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that are not in the cache yet."""
-        found: dict[bytes, bytes] = {}
-        tails: dict[bytes, bytes] = {}
-        words: set[bytes] = set()
-        for piece in missing:
+        self.split = self.tokenizer.model.tokenize
+
+    def _whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # ASCII letters only: nothing to normalise or split
+            ids = [t.id for t in self.split(piece.decode())]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        elif piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
             # a letter before one closing mark: two words of the tokenizer
-            if piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
-                tails[piece] = piece[:-1]
-                words.add(piece[:-1])
-                words.add(piece[-1:])
-            else:
-                words.add(piece)
-        known = self.cache
-        joined: list[bytes] = []
-        for w in words:
-            if w in known:
-                found[w] = known[w]
-            elif w.isalpha():  # ASCII letters only: nothing to normalise or split
-                ids = [t.id for t in self.model.tokenize(w.decode())]
-                found[w] = np.array(ids, "<u4").tobytes()
-            elif b"|" in w or len(w) > 4096:
-                found[w] = np.array(self._plain(w.decode()), "<u4").tobytes()
-            else:
-                joined.append(w)
-        for low in range(0, len(joined), 2000):
-            part = joined[low: low + 2000]
-            ids = np.array(self._plain(b" | ".join(part).decode()), "<u4")
-            cuts = np.flatnonzero(ids == self.separator[0])
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer does not keep words apart")
-            raw = ids.tobytes()
-            for w, a, b in zip(part, [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]):
-                found[w] = raw[a:b]
-        for piece, word in tails.items():
-            found[piece] = found[word] + found[piece[-1:]]
+            found = self[piece[:-1]] + self[piece[-1:]]
+        else:
+            found = self._whole(piece)
+        if len(piece) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[piece] = found
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces: list[list[bytes] | None] = [
-            None if b"<|" in t else t.lower().split() for t in texts]
-        missing = set().union(*(p for p in pieces if p is not None)).difference(self.cache)
-        if missing:
-            new = self._learn(missing)
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache = {}
-                rest = set().union(*(p for p in pieces if p is not None)).difference(new)
-                new |= self._learn(rest) if rest else {}
-            self.cache |= new
-        get = self.cache.__getitem__
-        return [
-            np.array(self._plain(t.decode()), "<u4").tobytes() if p is None else b"".join(map(get, p))
-            for t, p in zip(texts, pieces)
-        ]
+        get = self.__getitem__
+        return [self._whole(t) if b"<|" in t else b"".join(map(get, t.lower().split())) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
