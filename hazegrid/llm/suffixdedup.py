@@ -48,8 +48,8 @@ BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 #: beyond this many buckets (eight terabytes) the buckets grow instead
 MAX_BUCKET_BITS = 20
-#: bits sent of a hash whose first bits choose the bucket
-ANCHOR_BITS, UNIT_BITS = 40, 48
+#: bits sent of an anchor's hash beyond those that choose the bucket
+ANCHOR_BITS = 40
 
 
 # --- suffix arrays by grouping -------------------------------------------------
@@ -390,7 +390,21 @@ def _flagged(block: Block, bucket_bits: int, answers: list[dict]) -> np.ndarray:
     return np.flatnonzero(common[number])
 
 
-_ENTRY = np.dtype([("hash", "u1", 6), ("outer", "u1", 7)])
+def _pack_units(hashes: np.ndarray, outers: np.ndarray, docs: np.ndarray) -> bytes:
+    """Message of one bucket: six bytes of each hash, then outer bytes and documents by column, compressed."""
+    short = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6]
+    columns = np.ascontiguousarray(outers).view(np.uint8).reshape(-1, 8)[:, :7].T
+    packed = zstandard.compress(columns.tobytes() + docs.astype("<i8").tobytes(), 1)
+    return np.array([len(docs)], "<u4").tobytes() + short.tobytes() + packed
+
+
+def _unpack_units(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(payload, "<u4", 1)[0])
+    hashes, outers = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    hashes[:, :6] = np.frombuffer(payload, np.uint8, 6 * n, 4).reshape(n, 6)
+    rest = zstandard.decompress(payload[4 + 6 * n:])
+    outers[:, :7] = np.frombuffer(rest, np.uint8, 7 * n).reshape(7, n).T
+    return hashes.view("<u8")[:, 0], outers.view("<u8")[:, 0], np.frombuffer(rest, "<i8", n, 7 * n)
 
 
 def _send_units(bucket_bits: int):
@@ -399,35 +413,21 @@ def _send_units(bucket_bits: int):
             block.units(_flagged(block, bucket_bits, answers))
             bucket, order = block.entries(bucket_bits)
             unit = block.entry_unit[order]
-            rows = np.empty(len(unit), _ENTRY)
-            kept = block.unit_hash[unit] & np.uint64((1 << UNIT_BITS) - 1)
-            rows["hash"] = np.ascontiguousarray(kept).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows["outer"] = np.ascontiguousarray(block.unit_outer[unit]).view(np.uint8).reshape(-1, 8)[:, :7]
+            hashes, outers = block.unit_hash[unit], block.unit_outer[unit]
             docs = block.ids[block.unit_text[unit]]
             cuts = _cuts(bucket[order])
-            # equal neighbours among the documents pack well
-            payloads = [rows[a:b].tobytes() + zstandard.compress(docs[a:b].astype("<i8").tobytes(), 1)
-                        for a, b in zip(cuts, cuts[1:])]
-            sizes = [np.array([b - a], "<u4").tobytes() for a, b in zip(cuts, cuts[1:])]
             if cuts:
-                yield _messages(number, bucket[order][cuts[:-1]], [s + p for s, p in zip(sizes, payloads)])
+                yield _messages(number, bucket[order][cuts[:-1]], [
+                    _pack_units(hashes[a:b], outers[a:b], docs[a:b]) for a, b in zip(cuts, cuts[1:])])
 
     return run
 
 
 def _answer_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in in_groups(batches, ["bucket"]):
-        hashes, outers, docs, sizes = [], [], [], []
-        for payload in group.column("payload").to_pylist():
-            n = int(np.frombuffer(payload, "<u4", 1)[0])
-            rows = np.frombuffer(payload, _ENTRY, n, 4)
-            for name, keep in (("hash", hashes), ("outer", outers)):
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, : rows[name].shape[1]] = rows[name]
-                keep.append(wide.view("<u8")[:, 0])
-            docs.append(np.frombuffer(zstandard.decompress(payload[4 + n * _ENTRY.itemsize:]), "<i8"))
-            sizes.append(n)
-        h, outer, doc = np.concatenate(hashes), np.concatenate(outers), np.concatenate(docs)
+        parts = [_unpack_units(payload) for payload in group.column("payload").to_pylist()]
+        sizes = [len(docs) for _, _, docs in parts]
+        h, outer, doc = (np.concatenate(column) for column in zip(*parts))
         bits = _answer(h, outer, doc)
         ends = np.cumsum(sizes)
         answers = [bits[e - n: e].tobytes() for n, e in zip(sizes, ends)]
