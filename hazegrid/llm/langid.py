@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,14 @@ LANGUAGES = 256
 SATURATION = 200.0
 #: strength of the level above when shares are smoothed, in rows
 PULL = 20.0
-#: share of trigrams without any training count above which the text is of no known language
-UNKNOWN = 0.5
+#: likelihood of a text in no language: every bucket alike
+EVEN = -float(np.log(BUCKETS))
+#: a text must fit better than that by so much a trigram
+MARGIN = 0.25
+#: trigrams of a passage, which may be in another language than the rest
+PASSAGE = 32
+#: standard errors that a text's mean may lie below the limit of its language
+SLACK = 3.0
 MIN_POSTERIOR = 0.5
 
 #: A-Z to lower case; other ASCII but letters to space
@@ -49,47 +56,72 @@ def trigrams(text: bytes) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
+def fold_of(text: bytes) -> int:
+    """Half of the training texts to which a text belongs; equal texts share one."""
+    return xxhash.xxh64_intdigest(text) & 1
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts per language of one task, combined before they leave it."""
+    """Trigram counts per language and fold of one task, combined before they leave it."""
     free_encoders()
-    counts: dict[str, np.ndarray] = {}
+    counts: dict[tuple[str, int], np.ndarray] = {}
     for whole in batches:
         for batch in slices(whole, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text"))):
-                if lang not in counts:
-                    counts[lang] = np.zeros(BUCKETS, np.int64)
-                counts[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
-    for lang, c in counts.items():
+                key = lang, fold_of(text)
+                if key not in counts:
+                    counts[key] = np.zeros(BUCKETS, np.int64)
+                counts[key] += np.bincount(trigrams(text), minlength=BUCKETS)
+    for (lang, fold), c in counts.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])],
-            names=["lang", "bucket", "n"])
+            [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), fold, np.int32)),
+             pa.array(at.astype(np.int32)), pa.array(c[at])],
+            names=["lang", "fold", "bucket", "n"])
 
 
 class TextModel:
-    """Log probability of each bucket under each language, and the buckets ever seen."""
+    """Log probability of each bucket under each language, learned apart on two folds of the texts.
+
+    ``counts`` holds folds, buckets, languages.  A text is judged by the fold that
+    it is not in, so neither it nor a copy of it speaks for itself.  ``usual`` and
+    ``spread`` are mean and standard deviation, by language, of the log
+    probability of one fold's trigrams under the other.
+    """
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         smooth = counts + 0.5
-        self.logs = np.log(smooth / smooth.sum(axis=0, keepdims=True)).astype(np.float32)
-        self.seen = counts.sum(axis=1) > 0
-
-    def likelihood(self, text: bytes) -> tuple[np.ndarray, int, float]:
-        """Mean log probability per language, number of trigrams, share of trigrams never seen."""
+        self.logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+        total = np.maximum(counts.sum(axis=(0, 1)), 1)
+        across = self.logs[::-1].astype(np.float64)
+        self.usual = (counts * across).sum(axis=(0, 1)) / total
+        self.spread = np.sqrt((counts * (across - self.usual) ** 2).sum(axis=(0, 1)) / total)
+
+    def likelihood(self, text: bytes) -> tuple[np.ndarray, int, float, float]:
+        """Mean log probability per language, number of trigrams, of different ones that weigh as much, and the fit.
+
+        The fit is the mean log probability with each passage of ``PASSAGE``
+        trigrams in its best language, so that a text in several fits as well.
+        """
         codes = trigrams(text)
         if not len(codes):
-            return np.zeros(len(self.languages)), 0, 0.0
-        total = np.zeros(len(self.languages))
+            return np.zeros(len(self.languages)), 0, 0.0, 0.0
+        logs = self.logs[1 - fold_of(text)]
+        total, best = np.zeros(len(self.languages)), 0.0
         for low in range(0, len(codes), 1 << 16):
-            total += self.logs[codes[low: low + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        return total / len(codes), len(codes), 1 - float(self.seen[codes].mean())
+            found = logs[codes[low: low + (1 << 16)]]
+            passages = np.add.reduceat(found, np.arange(0, len(found), PASSAGE), axis=0)
+            total += passages.sum(axis=0, dtype=np.float64)
+            best += float(passages.max(axis=1).sum(dtype=np.float64))
+        n = np.bincount(codes).astype(np.float64)
+        return total / len(codes), len(codes), len(codes) ** 2 / float(n @ n), best / len(codes)
 
 
 def train_text_model(labelled: DataFrame) -> TextModel:
     """Trigram model of ``labelled`` (``lang``, ``text``); rows without either are passed over."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    counted = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(
+    counted = rows.mapInArrow(_count, "lang string, fold int, bucket int, n long").groupBy("lang", "fold", "bucket").agg(
         F.sum("n").alias("n"))
     found = stored(counted, "trigrams")
     languages = sorted(r["lang"] for r in found.select("lang").distinct().limit(LANGUAGES + 1).collect())
@@ -98,10 +130,10 @@ def train_text_model(labelled: DataFrame) -> TextModel:
     if not languages:
         raise ValueError("no text with a language to learn from")
     place = {lang: i for i, lang in enumerate(languages)}
-    counts = np.zeros((BUCKETS, len(languages)))
+    counts = np.zeros((2, BUCKETS, len(languages)))
     for batch in found.toArrow().to_batches():
         columns = [place[x] for x in batch.column("lang").to_pylist()]
-        counts[batch.column("bucket").to_numpy(), columns] = batch.column("n").to_numpy()
+        counts[batch.column("fold").to_numpy(), batch.column("bucket").to_numpy(), columns] = batch.column("n").to_numpy()
     return TextModel(languages, counts)
 
 
@@ -116,9 +148,9 @@ def _score(model, id_name: str):
                 kept = [n for n in batch.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(n) for n in kept), mean, pa.array([f[1] for f in found], pa.int64()),
-                     pa.array([f[2] for f in found], pa.float64()),
+                     pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64()),
                      pa.array([int(np.argmax(f[0])) if f[1] else None for f in found], pa.int32())],
-                    names=[*kept, "_text", "n_trigrams", "unseen", "_top"])
+                    names=[*kept, "_text", "n_trigrams", "n_apart", "_fit", "_top"])
 
     return run
 
@@ -155,16 +187,17 @@ def identify(rows: DataFrame, model: TextModel, id_name: str = "doc_id",
     Returns ``id_name``, ``language`` (NULL if none is accepted), ``posterior``
     of the likeliest one, ``likeliest``, ``text_language`` (by the text alone),
     ``accepted``.  Evidence columns may be NULL and then say nothing.  A row is
-    not accepted if its text holds no letters (empty and NULL texts too), if
-    more than half of its trigrams occur nowhere in the training texts, or if
-    no language reaches ``min_posterior``.  Ties go to the first language in
+    not accepted if its text holds no letters (empty and NULL texts too), if no
+    language reaches ``min_posterior``, or if the text fits none: its fit
+    must reach half way from ``EVEN`` to what is usual in the likeliest language,
+    less ``SLACK`` standard errors, and ``EVEN`` by ``MARGIN``.  Ties go to the first language in
     alphabetical order.  Repeated rows each get their result.
     """
     spark = rows.sparkSession
     n = len(model.languages)
     narrow = rows.select(id_name, "text", *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "domain", "host")])
     schema = narrow.drop("text").schema
-    schema.add("_text", T.ArrayType(T.DoubleType())).add("n_trigrams", "long").add("unseen", "double").add("_top", "integer")
+    schema.add("_text", T.ArrayType(T.DoubleType())).add("n_trigrams", "long").add("n_apart", "double").add("_fit", "double").add("_top", "integer")
     scored = stored(narrow.mapInArrow(_score(spark.sparkContext.broadcast(model), id_name), schema), "scored")
 
     whole = scored.where("_top IS NOT NULL").groupBy("_top").count().collect()
@@ -192,11 +225,15 @@ def identify(rows: DataFrame, model: TextModel, id_name: str = "doc_id",
         F.col("_text")[i] * F.col("_w") + F.log(F.col("_prior")[i]) + F.col("_d")[i] + F.col("_s")[i] for i in range(n)]))
     best = F.array_max("_log")
     names = F.array(*[F.lit(x) for x in model.languages])
+    place = F.array_position("_log", best).cast("int")
+    half = F.element_at(F.array(*[F.lit((float(u) + EVEN) / 2) for u in model.usual]), place)
+    error = F.element_at(F.array(*[F.lit(float(x)) for x in model.spread]), place) / F.sqrt(F.greatest("n_apart", F.lit(1.0)))
+    fits = F.col("_fit") >= F.greatest(half - F.lit(SLACK) * error, F.lit(EVEN + MARGIN))
     result = logs.select(
-        id_name, "n_trigrams", "unseen", "_top",
-        F.element_at(names, F.array_position("_log", best).cast("int")).alias("likeliest"),
+        id_name, "n_trigrams", "_top", fits.alias("_fits"),
+        F.element_at(names, place).alias("likeliest"),
         (F.lit(1.0) / F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - best))).alias("posterior"))
-    accepted = (F.col("n_trigrams") > 0) & (F.col("unseen") <= UNKNOWN) & (F.col("posterior") >= min_posterior)
+    accepted = (F.col("n_trigrams") > 0) & F.col("_fits") & (F.col("posterior") >= min_posterior)
     return result.select(
         id_name, F.when(accepted, F.col("likeliest")).alias("language"), "posterior", "likeliest",
         F.element_at(names, F.col("_top") + 1).alias("text_language"), accepted.alias("accepted"))
@@ -235,7 +272,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """Evidence of a table with ``page_id``, ``url`` and ``html``; the text is what stands outside of tags."""
-    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&(?:amp|lt|gt|quot|apos|nbsp|copy|middot);", " ")
     at = address_evidence(F.col("url"))
     return pages.select(
         "page_id", body.alias("text"), markup_language(F.col("html")).alias("declared"),

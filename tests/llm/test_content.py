@@ -163,6 +163,18 @@ def test_language_of_held_out_rows(spark):
     assert langid.identify(langid.document_rows(frame.limit(0)), model).count() == 0
 
 
+def test_texts_in_no_known_language_are_rejected_though_they_are_trained_on(spark):
+    rng = random.Random(15)
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(80))
+    italian = "domani andremo dalla nonna che abita in campagna e prepara sempre una torta di mele per tutti noi"
+    rows = language_rows(rng, 300) + [(900, junk, "en", "s1"), (901, junk, "en", "s1"), (902, italian, "de", "s2"), (903, junk[::-1], "xx", "s3")]
+    rows += [(904, " ".join(EN + DE), "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in langid.identify(langid.document_rows(docs), langid.train_text_model(docs)).collect()}
+    assert {k for k, r in got.items() if not r["accepted"]} == {900, 901, 902, 903}
+    assert all(got[k]["language"] == lang for k, _, lang, _ in rows[:300])
+
+
 def test_other_evidence_decides_short_texts(spark):
     rng = random.Random(6)
     rows = language_rows(rng, 200)
