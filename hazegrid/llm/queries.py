@@ -59,12 +59,12 @@ URL_RULES = [
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's address; a page is labelled by the row of ``labels`` with its number."""
     pages = table(spark, folder, "pages")
-    labels = table(spark, folder, "labels").select(
-        F.col("doc_id").alias("page_id"),
-        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), urlrules.BLOCK).when(
-            F.col("quality").isNotNull() | F.col("toxic").isNotNull(), urlrules.ALLOW).alias("label"))
+    bad = {"quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.when(x, urlrules.BLOCK).when(~x, urlrules.ALLOW).alias("label"))
+        for kind, x in bad.items()])))
     labelled = pages.select("page_id", "url").join(labels, "page_id")
-    return urlrules.judge(pages, labelled, URL_RULES).drop("mined")
+    return urlrules.judge(pages, labelled, URL_RULES, list(bad)).drop("mined")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:

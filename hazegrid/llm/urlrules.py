@@ -1,8 +1,8 @@
 """URL filtering by association rules.
 
 Frequent combinations of URL tokens are mined with Spark's FP-growth from
-labelled pages; a combination that predicts the label ``block`` with enough
-support, confidence and lift becomes a rule.  Rules are kept in an inverted
+labelled pages, for each kind of label apart; a combination with which the label
+``block`` is more frequent than by chance becomes a rule.  Rules are kept in an inverted
 index under their rarest token, so a token that nearly every address has brings
 up a rule only if the rule has nothing rarer.  Stated host and path rules come
 before the mined ones.
@@ -13,8 +13,10 @@ touches a row.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
-#: a combination needs so many labelled pages whatever their share
+#: a combination needs so many blocked pages, whatever their share
 MIN_ROWS = 20
+#: chance that labels which do not depend on the address give any rule at all
+ALPHA = 0.05
 BLOCK = "block"
 ALLOW = "allow"
 _LABEL = "label="
@@ -78,27 +80,44 @@ def tokens_of(url: Column) -> Column:
         parts(host, r"\.", "host:"), parts(host, r"[.-]", "word:"), parts(path, r"[/.]", "path:"), names, fragment))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_lift: float = MIN_LIFT,
+               alpha: float = ALPHA) -> DataFrame:
     """Rules from ``labelled`` (``tokens``, ``label``): ``rule_tokens``, ``confidence``, ``lift``, ``support``.
 
-    Keeps combinations whose consequence is ``block`` and drops one of whose
-    parts alone predicts it as well.  Rows without label or tokens are passed
-    over; without any row there are no rules.
+    A combination on ``min_rows`` blocked pages is a rule if ``block`` is
+    ``min_lift`` times as frequent with it as on all labelled pages and the
+    Chernoff bound on the chance of that, times the number of combinations
+    tried, is at most ``alpha``.  One of whose parts alone predicts it as well is
+    dropped.  Rows without label or tokens are passed over; without any blocked
+    row there are no rules.
     """
-    baskets = stored(
-        labelled.where("label IS NOT NULL AND size(tokens) > 0").select(
-            F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items")), "baskets")
     spark = labelled.sparkSession
-    if baskets.isEmpty():
+    rows = stored(labelled.where("label IS NOT NULL AND size(tokens) > 0").select("tokens", "label"), "baskets")
+    total, blocked = rows.agg(F.count("*"), F.count_if(F.col("label") == BLOCK)).first()
+    if blocked < min_rows:
         return spark.createDataFrame([], "rule_tokens array<string>, confidence double, lift double, support double")
-    support = min(1.0, max(min_support, MIN_ROWS / baskets.count()))
+    # tokens of every page say nothing; the others are few enough to name, for each page has some of them
+    everywhere = [r["token"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").count().where(
+        F.col("count") == total).select("token").collect()]
+    items = F.array_except("tokens", F.array(*[F.lit(t) for t in everywhere]).cast("array<string>"))
+    baskets = rows.select(F.when(F.col("label") == BLOCK, F.array_append(items, F.lit(_LABEL + BLOCK))).otherwise(
+        items).alias("items")).where("size(items) > 0")
     # each partition grows the trees of its own items; the table of baskets alone may have few
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=parts).fit(baskets)
-    block = F.array(F.lit(_LABEL + BLOCK))
-    found = model.associationRules.where((F.col("consequent") == block) & (F.col("lift") >= min_lift)).select(
-        F.sort_array("antecedent").alias("rule_tokens"), "confidence", "lift", "support")
+    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / baskets.count(), numPartitions=parts).fit(baskets)
+    is_label = F.array_contains("items", _LABEL + BLOCK)
+    sets = stored(model.freqItemsets.select(
+        F.sort_array(F.filter("items", lambda x: x != _LABEL + BLOCK)).alias("rule_tokens"), "freq", is_label.alias("_hit")
+    ).where("size(rule_tokens) > 0"), "itemsets")
+    tried = sets.where("_hit").select("rule_tokens", F.col("freq").alias("_k")).join(
+        sets.where("NOT _hit").select("rule_tokens", F.col("freq").alias("_n")), "rule_tokens")
+    m = sets.where("_hit").count()
+    base = blocked / total
+    c = F.col("_k") / F.col("_n")
+    rest = F.when(c < 1, (1 - c) * F.log((1 - c) / F.lit(max(1 - base, 1e-300)))).otherwise(0.0)
+    gain = F.col("_n") * (c * F.log(c / F.lit(base)) + rest)
+    found = tried.where((c / F.lit(base) >= min_lift) & (gain >= F.lit(math.log(max(m, 1) / alpha)))).select(
+        "rule_tokens", c.alias("confidence"), (c / F.lit(base)).alias("lift"), (F.col("_k") / F.lit(total)).alias("support"))
     rules = stored(found, "rules")
     # a rule is redundant beside one with a token less and no less confidence
     shorter = rules.select(F.col("rule_tokens").alias("_part"), F.col("confidence").alias("_c"))
@@ -129,10 +148,11 @@ def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]],
-          min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+          kinds: Sequence[str] = (), min_rows: int = MIN_ROWS, alpha: float = ALPHA) -> DataFrame:
     """Verdict on every row of ``pages`` (``page_id``, ``url``).
 
-    ``labelled`` holds ``url`` and ``label`` (``block`` or ``allow``).  Returns
+    ``labelled`` holds ``url`` and ``label`` (``block`` or ``allow``), and may hold
+    a ``kind`` of label out of ``kinds``; rules are mined for each kind apart.  Returns
     ``page_id``, ``host``, ``path``, ``rule`` (the stated rule that decided, else
     NULL), ``verdict``, ``mined`` (tokens of the mined rule that applied, else
     NULL).  A stated rule decides first; else a mined rule blocks; else the page
@@ -141,9 +161,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str,
     """
     at = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                       tokens_of(F.col("url")).alias("tokens"))
-    mined = stored(mine_rules(labelled.select(tokens_of(F.col("url")).alias("tokens"), "label"),
-                              min_support, min_confidence), "mined")
-    matched = match_rules(at, mined)
+    apart = [labelled.where(F.col("kind") == k) for k in kinds] or [labelled]
+    mined = [mine_rules(one.select(tokens_of(F.col("url")).alias("tokens"), "label"), min_rows, alpha=alpha / len(apart))
+             for one in apart]
+    matched = match_rules(at, stored(reduce(DataFrame.union, mined), "mined"))
     label, verdict = stated_rule(F.col("host"), F.col("path"), rules)
     return at.join(matched, "tokens", "left").select(
         "page_id", "host", "path", label.alias("rule"),

@@ -138,6 +138,23 @@ def test_mined_rules_block(spark):
     assert urlrules.judge(pages.limit(0), labelled, []).count() == 0
 
 
+def test_rules_are_judged_against_the_base_rate_of_each_kind(spark):
+    rng = random.Random(16)
+    rows = []
+    for k in range(3000):
+        host = "free-bets" if k % 10 == 0 else f"good{k % 7}"
+        url = f"http://{host}.example.net/{rng.choice(['en', 'de'])}/{k}"
+        # four in ten against one in ten elsewhere; the other kind does not depend on the address
+        rows += [(url, "toxic", "block" if rng.random() < (0.4 if k % 10 == 0 else 0.1) else "allow"),
+                 (url, "quality", "block" if rng.random() < 0.15 else "allow")]
+    labelled = spark.createDataFrame(rows, "url string, kind string, label string")
+    pages = spark.createDataFrame([(1, "http://free-bets.example.net/fr/1"), (2, "http://good3.example.net/en/2")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labelled, [], ["quality", "toxic"]).collect()}
+    assert got == {1: "block", 2: "allow"}
+    chance = labelled.where("kind = 'quality'").select(urlrules.tokens_of(F.col("url")).alias("tokens"), "label")
+    assert urlrules.mine_rules(chance).count() == 0
+
+
 # --- languages --------------------------------------------------------------------
 
 EN, DE = "the and of to in that it was for on are with as his they be at one have this".split(), "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch".split()
