@@ -462,21 +462,25 @@ def _fit_and_predict(estimator_of):
     return run
 
 
-query("forest_predictions")(_fit_and_predict(lambda t: models.forest(t, trees=20)))
-query("boosted_predictions")(_fit_and_predict(lambda t: models.boosted(t, rounds=10, depth=4)))
+query("forest_predictions")(_fit_and_predict(models.forest))
+query("boosted_predictions")(_fit_and_predict(models.boosted))
 
 
 @query("tuning_results")
 def _tuning(s, d):
     train, _ = models.hash_split(_V.regr(s, d), _V.REGR_KEY)
-    _, results = models.tune(train, _V.REGR_FEATURES, models.forest("pm2_5", trees=5), {"maxDepth": [4, 6], "numTrees": [5]})
-    return fusion.literal_table(s, ["max_depth", "trees", "mae"], [(p["maxDepth"], p["numTrees"], float(m)) for p, m in results])
+    rows = []
+    for name, estimator, grid in (("forest", models.forest("pm2_5"), fixed.FOREST_GRID), ("boosted", models.boosted("pm2_5"), fixed.BOOSTED_GRID)):
+        _, results = models.tune(train, _V.REGR_FEATURES, estimator, grid)
+        rows += [(name, p.get("numTrees", p.get("maxIter")), p["maxDepth"], p.get("minInstancesPerNode", 1), p["featureSubsetStrategy"],
+                  float(p.get("stepSize", 0)), float(p.get("subsamplingRate", 1)), float(m)) for p, m in results]
+    return fusion.literal_table(s, ["model", "trees", "max_depth", "min_rows", "features", "rate", "row_share", "mae"], rows)
 
 
 @query("feature_importance")
 def _importance(s, d):
     train, _ = models.hash_split(_V.regr(s, d), _V.REGR_KEY)
-    return models.feature_importance(train, models.train(train, _V.REGR_FEATURES, models.forest("pm2_5", trees=10)), _V.REGR_FEATURES)
+    return models.feature_importance(train, models.train(train, _V.REGR_FEATURES, models.forest("pm2_5")), _V.REGR_FEATURES)
 
 
 query("score_batch", f", f AS (SELECT grid_id, datetime, coalesce(aod_550, 0.6e0) AS aod_550, coalesce(t2m_celsius, 25e0) AS t2m_celsius, coalesce(wind_speed_10m, 4e0) AS wind_speed_10m, coalesce(r2m, 65e0) AS r2m, 800e0 AS blh FROM fused), p AS (SELECT *, {_clamped(_LINEAR, 5, 500)} AS pm FROM f) SELECT grid_id, strftime(datetime, {_FMT}) AS datetime, round(pm, 6) AS pm2_5, CAST(trunc({_sql_aqi('pm')}) AS INT) AS aqi, {_sql_cpcb('pm')} AS category FROM p")(

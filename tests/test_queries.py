@@ -1,10 +1,13 @@
 """Every registered query of this side against its SQL on the smallest tables."""
 
+import itertools
+
 import duckdb
 import pytest
 
 import __spark_entry__
 from hazegrid import registry
+from hazegrid.functions import fixed
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -37,3 +40,29 @@ def test_query_without_sql_has_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_model_queries_use_whole_settings_and_grids(spark, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def fit(rows, features, estimator):
+        raise Fitted(estimator)
+
+    asked = []
+
+    def tune(rows, features, estimator, grid):
+        asked.append((type(estimator).__name__, grid))
+        names, lists = list(grid), list(grid.values())
+        return None, [(dict(zip(names, p)), 1.0) for p in itertools.product(*lists)]
+
+    monkeypatch.setattr(registry.models, "train", fit)
+    monkeypatch.setattr(registry.models, "tune", tune)
+    for name, trees, depth in (("forest_predictions", "numTrees", 10), ("feature_importance", "numTrees", 10), ("boosted_predictions", "maxIter", 6)):
+        with pytest.raises(Fitted) as found:
+            registry.QUERIES[name](spark, FOLDER)
+        estimator = found.value.args[0]
+        assert (estimator.getOrDefault(trees), estimator.getMaxDepth()) == (100, depth)
+    got = registry.QUERIES["tuning_results"](spark, FOLDER).collect()
+    assert asked == [("RandomForestRegressor", fixed.FOREST_GRID), ("GBTRegressor", fixed.BOOSTED_GRID)]
+    assert [sum(r["model"] == m for r in got) for m in ("forest", "boosted")] == [108, 243] and len(set(got)) == len(got)
