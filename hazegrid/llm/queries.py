@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, licenses, neardup, packing, quality, suffixdedup, tokenfile, urlrules
+from . import (
+    decontaminate, fingerprint, infill, langid, licenses, lmscore, neardup, packing, quality, spelling, suffixdedup, tokenfile, urlrules,
+)
 from .common import table, tokenizer_path
 
 
@@ -87,6 +89,21 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.token_file_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted form and root of every frequent word of all documents."""
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document rearranged for infilling, and the text rebuilt from it, as digests."""
+    return infill.digests(infill.fill_in_middle(table(spark, folder, "documents")))
+
+
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document by the bigram model and by single words."""
+    return lmscore.score_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -98,6 +115,9 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lm_scoring": op13_lm_scoring,
     "pages_language_id": pages_language_id,
 }
 
@@ -146,6 +166,24 @@ SELECT n.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_remov
 FROM n JOIN kept ON n.doc_id = kept.doc_id LEFT JOIN sums ON n.doc_id = sums.doc_id
 """
 
-#: the others need a tokenizer, a fitted model, or a random walk, which SQL cannot express;
+_OP12 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS d FROM documents),
+k AS (
+  SELECT doc_id, t, length(t) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+    CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM h),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+#: the others need a tokenizer, a fitted model, CRC-32 or a random walk, which SQL cannot express;
 #: tests compare them with brute force
-SQL: dict[str, str] = {"op3_minhash_near_dedup": _OP3, "op7_suffix_array_dedup": _OP7}
+SQL: dict[str, str] = {"op3_minhash_near_dedup": _OP3, "op7_suffix_array_dedup": _OP7, "op12_fill_in_middle": _OP12}
