@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from hazegrid.llm import decontaminate, langid, neardup, packing, suffixdedup
 from hazegrid.llm.common import table, tokenizer_path
-from hazegrid.session import stored
+from hazegrid.session import prepare, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no recognised language: empty, without letters, or undecided."""
+    prepare(spark)
     rows = langid.document_rows(docs)
     model = langid.train_text_model(docs.select("lang", "text"))
     rejected = langid.identify(rows, model).where("NOT accepted").select("doc_id").distinct()
@@ -26,12 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each near-duplicate class."""
+    prepare(spark)
     dropped = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document has; ``n_chars`` follows the text that is left."""
+    prepare(spark)
     left = suffixdedup.texts_left(suffixdedup.remove_repeats(docs))
     rest = docs.drop("text", "n_chars").withColumn("doc_id", F.col("doc_id").cast("long")).dropDuplicates(["doc_id"])
     return left.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -45,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of at most 4096 tokens."""
+    prepare(spark)
     _, placement = packing.pack_documents(docs, tokenizer_path())
     return placement
 

@@ -9,6 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: run-time settings; rows and bytes of an Arrow batch bound what a Python worker and its buffers hold at once
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    # split a skewed join input even where a later step reuses its partitioning
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
+
 def build_session(name: str = "hazegrid", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings this package relies on.
 
@@ -19,12 +29,10 @@ def build_session(name: str = "hazegrid", master: str | None = None, **settings:
     if master:
         builder = builder.master(master)
     defaults = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # split a skewed join input even where a later step reuses its partitioning
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
@@ -32,9 +40,9 @@ def build_session(name: str = "hazegrid", master: str | None = None, **settings:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Put the run-time settings on a session built elsewhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    """Put the run-time settings on a session, wherever it was built; every query starts with it."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
     return spark
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cell_index, fixed, formula_pm25, grid_id
+from ..session import prepare
 from .readers import read_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, os.path.join(folder, f"{name}.parquet"))
+    return read_table(prepare(spark), os.path.join(folder, f"{name}.parquet"))
 
 
 def _station_position(station: Column) -> tuple[Column, Column]:
