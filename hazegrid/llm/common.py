@@ -6,7 +6,7 @@ import ctypes
 import gc
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 #: a worker forgets its cached words beyond this many; results do not depend on it
 CACHE_WORDS = 1_000_000
 #: the same for word hashes, which are cheap to make again
@@ -28,7 +30,7 @@ _S32 = np.uint64(32)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,11 +111,15 @@ def shingles(values: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.
         v = np.zeros(1, np.uint64)
         for j, at in enumerate(range(begins[i], ends[i])):
             v = mix(v + values[at: at + 1] * _MUL1 + np.uint64(j + 1))
-        # shorter sequences hash apart from full shingles
-        out[out_begin[i]] = mix(v + counts[i: i + 1].astype(np.uint64) * _MUL2)[0]
+        out[out_begin[i]] = whole_sequence(v, int(counts[i]))[0]
     return out, per_text
 
 
+def whole_sequence(windows: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of sequences of ``size`` words from those of full windows: shorter sequences hash apart from full shingles."""
+    return mix(windows + np.uint64(size) * _MUL2)
+
+
 def flatten_sets(hashes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text, one text after the other, and their numbers."""
     sizes = np.zeros(len(per_text), np.int64)
@@ -260,13 +266,25 @@ def encoder(path: str) -> Encoder:
 
 
 def free_encoders() -> None:
-    """Give up the encoders of this worker process, which other operators may have used before."""
-    if _ENCODERS:
-        _ENCODERS.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    """Give up what earlier tasks left in this worker process: encoders, and memory that is free but still held."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for one task, in a worker that holds as little as it can before and afterwards."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
+        yield from run(batches)
+        _WORD_HASHES.clear()
+        free_encoders()
+
+    return task
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import _WORD_HASHES, bit_map, free_encoders, in_map, raw_texts, shingles, slices
+from .common import _WORD_HASHES, bit_map, in_map, lean, narrowed, raw_texts, shingles, slices, whole_sequence
 
 SEED = 5
 COVERAGE = 0.5
@@ -133,28 +133,37 @@ def _item_seeds(least: int):
         for batch in batches:
             values, counts = tokens(raw_texts(batch.column("text")))
             seeds, per = shingles(values, counts, least)
+            # an item of fewer tokens has one seed, its whole sequence
             owner = np.repeat(np.arange(len(per)), per)
-            keep = np.repeat(counts >= least, per)
             ids = batch.column("item_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seeds[keep].view(np.int64)), pa.array(ids[owner[keep]]), pa.array(counts[owner[keep]])],
+                [pa.array(seeds.view(np.int64)), pa.array(ids[owner]), pa.array(counts[owner])],
                 names=["seed", "item_id", "n_tokens"])
 
     return run
 
 
-def _document_seeds(bits, least: int):
+def _windows(values: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of all windows of ``size`` tokens, hashed as an item of just these tokens is, and their texts."""
+    full, per = shingles(values, counts, size)
+    owner = np.repeat(np.arange(len(per)), per)
+    keep = np.repeat(counts >= size, per)
+    return whole_sequence(full[keep], size), owner[keep]
+
+
+def _document_seeds(bits, least: int, short: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_encoders()
         seen = bits.value
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 values, counts = tokens(raw_texts(batch.column("text")))
                 seeds, per = shingles(values, counts, least)
+                owner = np.repeat(np.arange(len(per)), per)
+                for more, texts in (_windows(values, counts, size) for size in short):
+                    seeds, owner = np.concatenate([seeds, more]), np.concatenate([owner, texts])
                 hit = np.flatnonzero(in_map(seen, seeds))
                 if len(hit):
-                    owner = np.repeat(np.arange(len(per)), per)[hit]
-                    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner]
+                    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[owner[hit]]
                     pairs = np.unique(np.stack([ids, seeds[hit].view(np.int64)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["doc_id", "seed"])
 
@@ -164,7 +173,7 @@ def _document_seeds(bits, least: int):
 def _tiled(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 values, counts = tokens(raw_texts(batch.column("text")))
                 ends = np.cumsum(counts)
                 out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_tokens", "n_covered")}
@@ -175,7 +184,7 @@ def _tiled(least: int):
                         out["doc_id"].append(doc)
                         out["item_id"].append(item["item_id"])
                         out["n_tokens"].append(len(pattern))
-                        out["n_covered"].append(covered(pattern, values[begin:end], least))
+                        out["n_covered"].append(covered(pattern, values[begin:end], min(least, len(pattern))))
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return run
@@ -185,8 +194,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = SEED, coverage: flo
     """Tiled coverage of items by documents: ``doc_id``, ``item_id``, ``n_tokens``, ``n_covered``.
 
     Holds every pair that reaches ``coverage``; pairs below it may be absent.
-    Rows without an id, NULL texts and items of fewer than ``least`` tokens match
-    nothing; repeated rows count once, with the larger coverage.
+    Rows without an id, NULL texts and items without tokens match nothing; an item
+    of fewer than ``least`` tokens matches by all of them in a row; repeated rows
+    count once, with the larger coverage.  Empty tables give an empty result.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
@@ -195,7 +205,9 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = SEED, coverage: flo
         items.mapInArrow(_item_seeds(least), "seed long, item_id long, n_tokens long")
         .groupBy("seed", "item_id").agg(F.count("*").alias("_w"), F.max("n_tokens").alias("n_tokens")), "seeds")
     bits = spark.sparkContext.broadcast(bit_map(seeds.select("seed")))
-    hits = docs.mapInArrow(_document_seeds(bits, least), "doc_id long, seed long")
+    # lengths below ``least`` that occur: four at most
+    short = [r["n_tokens"] for r in seeds.where(F.col("n_tokens") < least).select("n_tokens").distinct().collect()]
+    hits = docs.mapInArrow(lean(_document_seeds(bits, least, short)), "doc_id long, seed long")
     # tiles cover c tokens with c / least seeds at the very least
     candidates = stored(
         hits.join(seeds, "seed").groupBy("doc_id", "item_id")
@@ -203,8 +215,8 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = SEED, coverage: flo
         .where(F.col("_hits") * least >= F.col("_n") * coverage).select("doc_id", "item_id"), "candidates")
     wanted = candidates.join(items, "item_id").groupBy("doc_id").agg(
         F.collect_list(F.struct("item_id", "text")).alias("_items"))
-    tiled = docs.join(wanted, "doc_id").select("doc_id", "text", "_items").mapInArrow(
-        _tiled(least), "doc_id long, item_id long, n_tokens long, n_covered long")
+    tiled = narrowed(docs, candidates.select("doc_id").distinct()).join(wanted, "doc_id").mapInArrow(
+        lean(_tiled(least)), "doc_id long, item_id long, n_tokens long, n_covered long")
     return tiled.groupBy("doc_id", "item_id").agg(
         F.max(F.struct((F.col("n_covered") / F.col("n_tokens")).alias("c"), "n_covered", "n_tokens")).alias("_m")
     ).select("doc_id", "item_id", "_m.n_tokens", "_m.n_covered")

@@ -119,19 +119,20 @@ class TextModel:
 
 
 def train_text_model(labelled: DataFrame) -> TextModel:
-    """Trigram model of ``labelled`` (``lang``, ``text``); rows without either are passed over."""
+    """Trigram model of ``labelled`` (``lang``, ``text``); rows without either are passed over.
+
+    The model holds the ``LANGUAGES`` languages with the most trigrams (of equal
+    ones the first in alphabetical order), and none if no row has a language.
+    """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     counted = rows.mapInArrow(_count, "lang string, fold int, bucket int, n long").groupBy("lang", "fold", "bucket").agg(
         F.sum("n").alias("n"))
     found = stored(counted, "trigrams")
-    languages = sorted(r["lang"] for r in found.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not languages:
-        raise ValueError("no text with a language to learn from")
+    most = found.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    languages = sorted(r["lang"] for r in most.collect())
     place = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((2, BUCKETS, len(languages)))
-    for batch in found.toArrow().to_batches():
+    for batch in found.where(F.col("lang").isin(languages)).toArrow().to_batches():
         columns = [place[x] for x in batch.column("lang").to_pylist()]
         counts[batch.column("fold").to_numpy(), batch.column("bucket").to_numpy(), columns] = batch.column("n").to_numpy()
     return TextModel(languages, counts)
@@ -191,10 +192,15 @@ def identify(rows: DataFrame, model: TextModel, id_name: str = "doc_id",
     language reaches ``min_posterior``, or if the text fits none: its fit
     must reach half way from ``EVEN`` to what is usual in the likeliest language,
     less ``SLACK`` standard errors, and ``EVEN`` by ``MARGIN``.  Ties go to the first language in
-    alphabetical order.  Repeated rows each get their result.
+    alphabetical order.  Repeated rows each get their result; an empty table
+    gives an empty result.  A model without languages accepts nothing: the
+    other columns are NULL then.
     """
     spark = rows.sparkSession
     n = len(model.languages)
+    if not n:
+        nothing = {"language": "string", "posterior": "double", "likeliest": "string", "text_language": "string"}
+        return rows.select(id_name, *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.lit(False).alias("accepted"))
     narrow = rows.select(id_name, "text", *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "domain", "host")])
     schema = narrow.drop("text").schema
     schema.add("_text", T.ArrayType(T.DoubleType())).add("n_trigrams", "long").add("n_apart", "double").add("_fit", "double").add("_top", "integer")

@@ -6,7 +6,7 @@ the leading one.  Empty buckets of short texts borrow from a full one in an
 order fixed per bucket, so that two texts agree in a bucket with the
 probability of their Jaccard similarity.  Bands of four registers retrieve
 candidates; the estimate from all registers, corrected for chance collisions,
-drops those that lie six standard deviations below the threshold; the full
+drops those that lie five standard deviations below the threshold; the full
 shingle sets decide.
 
 At a similarity of 0.75 the 40 bands miss a pair with probability
@@ -17,10 +17,10 @@ Texts with equal sets form one class first.  Every text of a band's bucket is
 compared with the one there that shares buckets with the most texts, which in a
 group of edited copies is the original or nearest to it.  After that only
 buckets with texts of different components matter.  There every pair from
-different components is compared, first by registers, then by 32-bit shingle
-sets, in blocks of a bounded number of texts; a block names one pair for each
+different components is compared, first by registers, then by full shingle
+sets, in blocks of bounded size; a block names one pair for each
 two components it joins, so the output does not grow with the square of a
-bucket, and those pairs are confirmed on the full sets again.
+bucket.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import components, flatten_sets, free_encoders, in_groups, mix, narrowed, raw_texts, shingles, slices, word_hashes
+from .common import components, flatten_sets, in_groups, lean, mix, narrowed, raw_texts, shingles, slices, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -43,8 +43,9 @@ MANTISSA = 10
 #: chance that two different minima share a register, times 2^MANTISSA (HyperMinHash, large sets)
 COLLISION = 0.1699194871597391
 SIGMAS = 5.0
-#: texts per side of a block of comparisons
+#: texts per side of a block of comparisons; a long text weighs as one for each so many shingles
 BLOCK = 512
+WEIGHT = 1024
 #: members of a candidate star that are verified in one group
 STAR = 256
 
@@ -107,9 +108,8 @@ def hopeless(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_encoders()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 hashes, sizes = flatten_sets(*shingles(*word_hashes(raw_texts(batch.column("text"))), words))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(3)))])
@@ -146,7 +146,7 @@ def _block_pairs(percent: int):
             node, part, comp, size = (group.column(c).to_numpy() for c in ("node", "_part", "_comp", "_n"))
             major = group.column("_major").to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(group.column("_registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            sets = [np.frombuffer(x, np.uint32) for x in group.column("_set").to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("_set").to_pylist()]
             kind, i, j = (group.column(c)[0].as_py() for c in ("_t", "_i", "_j"))
             if kind == 0:
                 left, right = np.flatnonzero(~major), np.flatnonzero(major)
@@ -181,15 +181,24 @@ def _block_pairs(percent: int):
     return run
 
 
-def _short_sets(words: int):
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per text and band: the band's registers, hashed."""
+    band = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    for batch in batches:
+        wide = np.frombuffer(b"".join(batch.column("_registers").to_pylist()), np.uint64).reshape(-1, BANDS)
+        node, size = (batch.column(c).to_numpy() for c in ("node", "n_shingles"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(size.astype(np.int32), BANDS)),
+             pa.array(mix(wide ^ band).ravel().view(np.int64))], names=["node", "_n", "_key"])
+
+
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_encoders()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                hashes, per = shingles(*word_hashes(raw_texts(batch.column("text"))), words)
-                short, sizes = flatten_sets(hashes & np.uint64(0xFFFFFFFF), per)
-                raw = short.astype(np.uint32).tobytes()
-                ends = (4 * np.concatenate([[0], np.cumsum(sizes)])).tolist()
+            for batch in slices(whole, "text", 1 << 20):
+                hashes, sizes = flatten_sets(*shingles(*word_hashes(raw_texts(batch.column("text"))), words))
+                raw = hashes.tobytes()
+                ends = (8 * np.concatenate([[0], np.cumsum(sizes)])).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), pa.array([raw[p:q] for p, q in zip(ends, ends[1:])], pa.binary())],
                     names=["node", "_set"])
@@ -202,7 +211,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     The commonest component of a bucket needs no pairs inside; the other texts
     meet it in blocks of kind 0 and each other in blocks of kind 1.  A block has
-    about ``BLOCK`` texts a side.
+    texts of about ``BLOCK`` weights a side.
     """
     rows = rows.withColumns({
         "_major": F.col("_comp") == F.col("_most"),
@@ -224,10 +233,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_encoders()
         center, have = None, None
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 hashes, sizes = flatten_sets(*shingles(*word_hashes(raw_texts(batch.column("text"))), words))
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 out_a, out_b = [], []
@@ -262,7 +270,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
         "a", "_salt", F.lit(None).cast("long").alias("b"), "text")
     rows = heads.unionByName(members).repartition("a", "_salt").sortWithinPartitions(
         "a", "_salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(_verify(words, percent), "a long, b long")
+    return rows.select("a", "b", "text").mapInArrow(lean(_verify(words, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -279,15 +287,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     empty table gives an empty result; other columns are not read.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    sketches = stored(docs.mapInArrow(_sketch(words), SKETCH), "sketches")
+    sketches = stored(docs.mapInArrow(lean(_sketch(words)), SKETCH), "sketches")
     same = ["n_shingles", "_k1", "_k2"]
     classes = stored(
         sketches.where("n_shingles > 0").groupBy(*same)
         .agg(F.min(F.struct("doc_id", "_registers")).alias("_m"))
         .select(F.col("_m.doc_id").alias("node"), *same, F.col("_m._registers").alias("_registers")), "classes")
-    bands = classes.select("node", F.posexplode(F.expr(
-        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(_registers, i * {2 * ROWS} + 1, {2 * ROWS})))"
-    )).alias("_band", "_key")).drop("_band")
+    bands = classes.select("node", "n_shingles", "_registers").mapInArrow(lean(_bands), "node long, _n int, _key long")
     shared = bands.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
     members = stored(bands.join(shared, "_key"), "bands")
 
@@ -301,25 +307,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     ).join(
         registered.select(F.col("node").alias("b"), F.col("_n").alias("_nb"), F.col("_registers").alias("_rb")), "b"
     ).where(F.lit(100) * F.least("_na", "_nb") >= F.lit(percent) * F.greatest("_na", "_nb"))
-    pairs = stored(sides.mapInArrow(_estimated(percent), "a long, b long"), "stars")
+    pairs = stored(sides.mapInArrow(lean(_estimated(percent)), "a long, b long"), "stars")
     links = stored(confirmed(pairs, docs, words, percent), "links")
     found = stored(components(links), "components")
 
     # buckets of three or more texts that still hold several components: all pairs across components
     open_members = members.where("_size > 2").join(found, "node", "left").select(
-        "_key", "node", F.coalesce("component", "node").alias("_comp"))
-    counted = open_members.groupBy("_key", "_comp").agg(F.count("*").alias("_k"))
+        "_key", "node", "_n", F.coalesce("component", "node").alias("_comp"))
+    weight = F.greatest(F.col("_n") / WEIGHT, F.lit(1.0))
+    counted = open_members.groupBy("_key", "_comp").agg(F.sum(weight).alias("_k"))
     mixed = counted.groupBy("_key").agg(
         F.count("*").alias("_comps"), F.sum("_k").alias("_size"), F.max(F.struct("_k", "_comp")).alias("_m")
     ).where("_comps > 1").select("_key", "_size", F.col("_m._k").alias("_in_most"), F.col("_m._comp").alias("_most"))
-    rows = stored(open_members.join(mixed, "_key"), "mixed")
+    rows = stored(open_members.drop("_n").join(mixed, "_key"), "mixed")
     wanted = stored(rows.select("node").distinct(), "wanted")
-    short = wanted.join(narrowed(docs, wanted).withColumnRenamed("doc_id", "node"), "node").mapInArrow(
-        _short_sets(words), "node long, _set binary")
-    sketched = stored(wanted.join(registered, "node").join(short, "node"), "short")
+    sets = wanted.join(narrowed(docs, wanted).withColumnRenamed("doc_id", "node"), "node").mapInArrow(
+        lean(_sets(words)), "node long, _set binary")
+    sketched = stored(wanted.join(registered, "node").join(sets, "node"), "sets")
     blocks = _blocks(rows).join(sketched, "node").repartition("_key", "_t", "_i", "_j").sortWithinPartitions(
         "_key", "_t", "_i", "_j")
-    rest = blocks.mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+    rest = blocks.mapInArrow(lean(_block_pairs(percent)), "a long, b long").distinct()
     more = stored(confirmed(stored(rest, "rest"), docs, words, percent), "more")
     merged = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 

@@ -40,13 +40,14 @@ def test_contamination(spark):
     rng = random.Random(3)
     word = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
     a, b, c, d = word(12), word(12), word(12), word(12)
-    items = spark.createDataFrame([(1, f"{a}. {b}. {c}"), (2, word(40)), (3, "too short"), (4, None), (5, "")], "item_id long, text string")
+    items = spark.createDataFrame([(1, f"{a}. {b}. {c}"), (2, word(40)), (3, "too short"), (4, None), (5, ""), (6, "?!")], "item_id long, text string")
     docs = spark.createDataFrame([
         (1, f"{word(50)} {a} {b} {c} {word(50)}", 1), (2, f"{c}, {word(9)} {a}! {word(30)} {b.upper()}", 1), (3, f"{word(60)} {a[:40]}", 1),
-        (4, f"{word(30)} {a} {word(5)} {b[:36]}", 1), (5, None, 1), (6, "", 1), (7, "too short", 1), (1, "a repeated id", 1), (None, f"{a} {b} {c}", 1),
+        (4, f"{word(30)} {a} {word(5)} {b[:36]}", 1), (5, None, 1), (6, "", 1), (7, "it is Too, short!", 1), (8, "too long short", 1), (9, "short", 1), (1, "a repeated id", 1), (None, f"{a} {b} {c}", 1),
     ], "doc_id long, text string, item_id int")
     got = {r["doc_id"]: r for r in decontaminate.flag_documents(docs, items).collect()}
-    assert {k for k, r in got.items() if r["contaminated"]} == {1, 2, 4}
+    assert {k for k, r in got.items() if r["contaminated"]} == {1, 2, 4, 7}
+    assert got[7]["item_id"] == 3 and got[7]["coverage"] == 1.0
     assert got[1]["coverage"] == 1.0 and got[2]["coverage"] == 1.0 and 0.5 <= got[4]["coverage"] < 0.6 and got[2]["item_id"] == 1
     assert decontaminate.flag_documents(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.flag_documents(docs.limit(0), items).count() == 0
