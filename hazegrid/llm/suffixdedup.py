@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import free_encoders, in_groups, mix, raw_texts
+from .common import in_groups, lean, mix, raw_texts
 
 WINDOW = 50
 ANCHOR = 24
@@ -286,7 +286,6 @@ class Block:
 # --- jobs -----------------------------------------------------------------------
 
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    free_encoders()
     context = TaskContext.get()
     number = context.partitionId() << 32
     ids: list[int] = []
@@ -512,7 +511,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     fit into a task's memory.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    blocks = stored(rows.mapInArrow(_make_blocks, BLOCKS), "blocks")
+    blocks = stored(rows.mapInArrow(lean(_make_blocks), BLOCKS), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(MAX_BUCKET_BITS, max(0, int(np.ceil(np.log2(max(1, total) / BUCKET_BYTES)))))
     n_buckets = 1 << bits
@@ -520,14 +519,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def answered(sent: DataFrame, answer) -> DataFrame:
         dealt = sent.repartition(min(n_buckets, 20_000), "bucket").sortWithinPartitions("bucket", "block")
-        return stored(dealt.mapInArrow(answer, MESSAGES), "answers").groupBy("block").agg(
+        return stored(dealt.mapInArrow(lean(answer), MESSAGES), "answers").groupBy("block").agg(
             F.collect_list(F.struct("bucket", "payload")).alias("_a"))
 
-    anchors = answered(light.mapInArrow(_send_anchors(bits), MESSAGES), _answer_anchors).withColumnRenamed("_a", "_anchors")
+    anchors = answered(light.mapInArrow(lean(_send_anchors(bits)), MESSAGES), _answer_anchors).withColumnRenamed("_a", "_anchors")
     flagged = light.join(anchors, "block", "left")
-    units = answered(flagged.mapInArrow(_send_units(bits), MESSAGES), _answer_units).withColumnRenamed("_a", "_units")
+    units = answered(flagged.mapInArrow(lean(_send_units(bits)), MESSAGES), _answer_units).withColumnRenamed("_a", "_units")
     return flagged.join(units, "block", "left").mapInArrow(
-        _clean(bits), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+        lean(_clean(bits)), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
