@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .quantiles import exact_quantiles
 from .stats import with_keys
 
@@ -58,6 +60,36 @@ def temporal_folds(df: DataFrame, ts: str, folds: int) -> DataFrame:
     return df.withColumn("_day", F.to_date(ts)).join(marked, "_day").drop("_day")
 
 
+def forward_splits(df: DataFrame, ts: str, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each fold in time order but the first: all earlier folds to train on, and the fold itself.
+
+    Folds are cut between days, so no training day is a test day or follows one.
+    """
+    marked = stored(temporal_folds(df, ts, folds), "time-folds")
+    return [(marked.where(F.col("fold") < k).drop("fold"), marked.where(F.col("fold") == k).drop("fold"))
+            for k in range(2, folds + 1)]
+
+
+def block_fold(lat_cell: Column, lon_cell: Column, size: int, folds: int) -> Column:
+    """Fold of a cell, 1..n: square blocks of ``size`` cells fall together."""
+    return (F.pmod(F.floor(lat_cell / size) * 31 + F.floor(lon_cell / size), F.lit(folds)) + 1).cast("int")
+
+
+def station_splits(df: DataFrame, lat_cell: str, lon_cell: str, folds: int, size: int,
+                   guard: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each spatial fold: the rows outside of it and of a band of ``guard`` cells around it, and the fold's rows.
+
+    A cell's fold is arithmetic on its numbers, and so is that of the cells
+    around it: nothing is joined.  The band may be as wide as a block.
+    """
+    if not 0 <= guard <= size:
+        raise ValueError("the band is wider than a block")
+    steps = (-guard, 0, guard) if guard else (0,)
+    around = [block_fold(F.col(lat_cell) + i, F.col(lon_cell) + j, size, folds) for i in steps for j in steps]
+    own = block_fold(F.col(lat_cell), F.col(lon_cell), size, folds)
+    return [(df.where(reduce(Column.__and__, [f != k for f in around])), df.where(own == k)) for k in range(1, folds + 1)]
+
+
 def spatial_folds(lat_cell: Column, lon_cell: Column, folds: int) -> Column:
     """Fold of a cell, 1..n; all rows of a cell fall together."""
     return (F.pmod(lat_cell * 31 + lon_cell, F.lit(folds)) + 1).cast("int")
@@ -90,8 +122,9 @@ def forecast_interval(df: DataFrame, actual: str, predicted: str, by: Sequence[s
 
 
 def daily_trend(df: DataFrame, ts: str, column: str, by: Sequence[str] = (), days: int = 7) -> DataFrame:
-    """Daily mean and its mean over the last ``days`` days with readings."""
+    """Daily mean; over the last ``days`` days with readings its mean and its slope a day (NULL for a single day)."""
     daily = df.groupBy(*by, F.to_date(ts).alias("day")).agg(F.avg(column).alias("mean"))
     # one row per group and day
     last = W.partitionBy(*by).orderBy("day").rowsBetween(1 - days, 0)
-    return daily.withColumn("trend", F.avg("mean").over(last))
+    number = F.datediff("day", F.lit("1970-01-01")).cast("double")
+    return daily.withColumns({"trend": F.avg("mean").over(last), "slope": F.regr_slope(F.col("mean"), number).over(last)})

@@ -19,7 +19,7 @@ def preview(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), the same ones however the data is partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *key)), *key).limit(n)
 
 
 def worst_row(df: DataFrame, column: str, order: str, by: Sequence[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions import (
     advisory_level, clamp, cpcb_aqi, cpcb_category, encode_location, fallback_pm25, fixed, forecast_dates,
     formula_pm25, pollution_alert, season, zone_baseline,
 )
-from ..operators.ranking import worst_row
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -76,9 +75,9 @@ def forecast(locations: DataFrame, start: Column, days: int,
 
 def forecast_summary(daily: DataFrame, location: str) -> DataFrame:
     """Per location: mean and peak PM2.5, mean index, worst day, advisory level, alert."""
-    worst = worst_row(daily.select(location, "datetime", "pm2_5"), "pm2_5", "datetime", [location]).select(
-        location, F.to_date("datetime").alias("worst_day"))
+    worst = F.min(F.when(F.col("pm2_5").isNotNull(), F.struct((-F.col("pm2_5")).alias("pm"), F.col("datetime").alias("at"))))
     stats = daily.groupBy(location).agg(
-        F.avg("pm2_5").alias("mean_pm"), F.max("pm2_5").alias("peak_pm"), F.avg("aqi").alias("mean_aqi"))
-    return stats.join(worst, location).withColumns({
-        "advisory_level": advisory_level("mean_pm", "forecast"), "alert": pollution_alert("peak_pm")})
+        F.avg("pm2_5").alias("mean_pm"), F.max("pm2_5").alias("peak_pm"), F.avg("aqi").alias("mean_aqi"), worst.alias("_worst"))
+    return stats.withColumns({
+        "worst_day": F.to_date("_worst.at"), "advisory_level": advisory_level("mean_pm", "forecast"),
+        "alert": pollution_alert("peak_pm")}).drop("_worst")

@@ -111,4 +111,6 @@ def regr(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGR_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+#: whole numbers, which read alike as text everywhere
+SPLIT_KEY = REGR_KEY[:4]
 REGR_FEATURES = ["aod_550", "t2m_celsius", "wind_speed_10m", "r2m", "blh"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import cpcb_aqi, cpcb_category
 from ..session import scratch_path
@@ -26,12 +28,21 @@ def windowed_aqi(readings: DataFrame, hours: int = 6, late: str = "1 hour") -> D
         cpcb_aqi("mean_pm").alias("aqi"), cpcb_category("mean_pm").alias("category"))
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Work through what has arrived, write it below the shared folder, read it back."""
+#: state that outgrows an executor's heap stays on its disk, with changes in the checkpoint folder
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_available(stream: DataFrame, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Work through what has arrived, write it below the shared folder, read it back.
+
+    With the same ``out`` and ``state`` folders a later call goes on where the
+    last one, ended or broken off, stood.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, "stream")
+    out, state = out or scratch_path(spark, "stream"), state or scratch_path(spark, "stream-state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-             .option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start())
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -44,26 +55,63 @@ def latest_per_location(snapshots: DataFrame, location: list[str], ts: str) -> D
         *location, *[F.col(f"_m._r.{c}").alias(c) for c in rest])
 
 
-def upsert_latest(stream: DataFrame, location: list[str], ts: str, key: list[str], late: str) -> DataFrame:
-    """Keep the newest row per location over all batches.
+#: parts of the table of latest rows
+BUCKETS = 32
+
+
+def latest_rows(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The table below ``root`` as its last complete batch left it; empty before the first."""
+    versions = _versions(spark, root)
+    paths = [f"{root}/rows/batch={batch}/bucket={bucket}" for bucket, batch in versions.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _versions(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
+    """For each bucket the batch that wrote it last, by the newest list (older than batch ``before``)."""
+    try:
+        lists = spark.read.schema("bucket int, version long, batch long").parquet(f"{root}/lists")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    known = lists if before is None else lists.where(F.col("batch") < before)
+    newest = known.agg(F.max("batch")).scalar()
+    return {r["bucket"]: r["version"] for r in known.where(F.col("batch") == newest).collect() if r["bucket"] is not None}
+
+
+def upsert_latest(stream: DataFrame, location: list[str], ts: str, root: str | None = None,
+                  state: str | None = None) -> DataFrame:
+    """Keep the newest row per location over all batches, of equal times the largest row.
 
-    Repeated rows inside the watermark are dropped; every batch is merged with
-    the table so far and written as a new version beside it, so a batch that is
-    run again starts from the version before.
+    The table lies in buckets by a hash of the location.  A batch reads and
+    rewrites only the buckets it touches, each as a new version, and then writes a
+    list of the versions that count (``BUCKETS`` rows at most); a batch that is run
+    again starts from the list before it.  No watermark drops rows: a late first
+    row of a location is its newest, and repeated rows change nothing.  With the
+    same ``root`` and ``state`` a later call goes on.  A stream without rows gives
+    an empty table.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, "latest")
+    root, state = root or scratch_path(spark, "latest"), state or scratch_path(spark, "latest-state")
     schema = stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        if number:
-            batch = batch.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{root}/v{number - 1}"))
-        latest_per_location(batch, location, ts).select(*schema.fieldNames()).write.mode("overwrite").parquet(
-            f"{root}/v{number}")
-
-    unique = stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
-    query = (unique.writeStream.foreachBatch(merge).option("checkpointLocation", scratch_path(spark, "latest-state"))
-             .trigger(availableNow=True).start())
+        session = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*location), F.lit(BUCKETS)).cast("int"))
+        versions = _versions(session, root, number)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        old = [f"{root}/rows/batch={versions[b]}/bucket={b}" for b in touched if b in versions]
+        if old:
+            kept = session.read.schema(schema).parquet(*old)
+            rows = rows.unionByName(kept.withColumn("bucket", F.pmod(F.xxhash64(*location), F.lit(BUCKETS)).cast("int")))
+        if touched:
+            # null locations hash like others
+            latest_per_location(rows, [*location, "bucket"], ts).select(*schema.fieldNames(), "bucket").repartition(
+                len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/rows/batch={number}")
+        versions |= dict.fromkeys(touched, number)
+        session.createDataFrame(list(versions.items()) or [(None, number)], "bucket int, version long").coalesce(1).write.mode(
+            "overwrite").parquet(f"{root}/lists/batch={number}")
+
+    query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
-    last = (query.lastProgress or {}).get("batchId", 0)
-    return spark.read.schema(schema).parquet(f"{root}/v{last}")
+    return latest_rows(spark, root, schema)

@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(registry.QUERIES[name](spark, FOLDER).toPandas()) == plain(duck.execute(registry.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - {"boosted_predictions", "tuning_results"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - {"boosted_predictions", "tuning_results", "score_model"}))
 def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).count() > 0
 
@@ -51,18 +51,20 @@ def test_model_queries_use_whole_settings_and_grids(spark, monkeypatch):
 
     asked = []
 
-    def tune(rows, features, estimator, grid):
-        asked.append((type(estimator).__name__, grid))
+    def tune(splits, features, estimator, grid):
+        asked.append((type(estimator).__name__, grid, len(splits)))
         names, lists = list(grid), list(grid.values())
-        return None, [(dict(zip(names, p)), 1.0) for p in itertools.product(*lists)]
+        return [(dict(zip(names, p)), 1.0) for p in itertools.product(*lists)]
 
     monkeypatch.setattr(registry.models, "train", fit)
     monkeypatch.setattr(registry.models, "tune", tune)
-    for name, trees, depth in (("forest_predictions", "numTrees", 10), ("feature_importance", "numTrees", 10), ("boosted_predictions", "maxIter", 6)):
+    for name, trees, depth in (("forest_predictions", "numTrees", 10), ("feature_importance", "numTrees", 10), ("score_model", "numTrees", 10), ("boosted_predictions", "maxIter", 6)):
         with pytest.raises(Fitted) as found:
             registry.QUERIES[name](spark, FOLDER)
         estimator = found.value.args[0]
         assert (estimator.getOrDefault(trees), estimator.getMaxDepth()) == (100, depth)
     got = registry.QUERIES["tuning_results"](spark, FOLDER).collect()
-    assert asked == [("RandomForestRegressor", fixed.FOREST_GRID), ("GBTRegressor", fixed.BOOSTED_GRID)]
-    assert [sum(r["model"] == m for r in got) for m in ("forest", "boosted")] == [108, 243] and len(set(got)) == len(got)
+    assert asked == [("RandomForestRegressor", fixed.FOREST_SEARCH, 3), ("GBTRegressor", fixed.BOOSTED_SEARCH, 3)]
+    assert [sum(r["model"] == m for r in got) for m in ("forest", "boosted")] == [9, 6] and len(set(got)) == len(got)
+    for search, grid in ((fixed.FOREST_SEARCH, fixed.FOREST_GRID), (fixed.BOOSTED_SEARCH, fixed.BOOSTED_GRID)):
+        assert all(set(search[n]) <= set(grid[n]) for n in grid)
