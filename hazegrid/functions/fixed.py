@@ -140,7 +140,7 @@ CATEGORY_COLOURS = {
     "Very Unhealthy": "#8f3f97",
     "Hazardous": "#7e0023",
 }
-UNKNOWN_COLOUR = "#gray"
+UNKNOWN_COLOUR = "#808080"
 
 # --- Fixed values: severity bands of CPCB categories ------------------------
 SEVERITY_BANDS = {

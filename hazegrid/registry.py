@@ -12,7 +12,8 @@ from .functions import (
     cpcb_aqi, cpcb_category, encode_location, epa_category, estimate_blh, fallback_pm25, fixed, formula_pm25, grid_id,
     iso_date, kelvin_to_celsius, location_status, pollution_alert, region_of, season, wind_speed, zone_baseline,
 )
-from .operators import checks, filters, ranking, stats
+from .functions import sql as sql_functions
+from .operators import checks, filters, ranking, sketches, stats
 from .plans import forecast, fusion, models
 from .session import scratch_path, stored
 from .sources import readers, views, writers
@@ -447,6 +448,32 @@ query("union_snapshots", " UNION ALL ".join(
         "event_id", "pm2_5", *([F.col(_EXTRA[kind]).cast("double" if _EXTRA[kind] == "k" else "long").alias(_EXTRA[kind])] if kind in _EXTRA else []))
         for kind in _V.KIND_COLUMNS]))
 
+@query("coverage_sketches", """, m AS (SELECT strftime(datetime, '%Y-%m') AS month, grid_id, datetime FROM truth)
+  SELECT month, count(*) AS records, count(DISTINCT grid_id) AS cells, true AS cells_close, true AS days_close FROM m GROUP BY month""")
+def _coverage_sketches(s, d):
+    """Distinct cells and days per month: from stored daily sketches, held against the exact counts."""
+    rows = _V.fused(s, d)
+    names = ["cells", "days"]
+    daily = stored(sketches.distinct_sketches(
+        rows, {"day": F.to_date("datetime")}, {"cells": F.col("grid_id"), "days": F.col("datetime")}), "sketches")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    merged = sketches.estimates(sketches.merge_sketches(daily, [month], names), names)
+    exact = rows.groupBy(F.date_format("datetime", "yyyy-MM").alias("month")).agg(
+        F.count_distinct("grid_id").alias("_cells"), F.count_distinct("datetime").alias("_days"))
+    bound = 5 * sketches.SIGMA
+    return merged.join(exact, "month").select(
+        "month", "records", F.col("_cells").alias("cells"),
+        *[(F.abs(F.col(n) - F.col(f"_{n}")) <= F.col(f"_{n}") * bound).alias(f"{n}_close") for n in names])
+
+
+@query("sql_functions", f"""SELECT event_id, round({_sql_aqi('pm2_5')}, 6) AS aqi, {_sql_cpcb('pm2_5')} AS cpcb, {_sql_epa('pm2_5')} AS epa,
+  {_sql_ladder('pm2_5', 'regional')} AS level FROM readings WHERE {_sql_aqi('pm2_5')} > 100""")
+def _sql_functions(s, d):
+    sql_functions.register(s)
+    return s.sql("""SELECT event_id, round(cpcb_aqi(pm2_5), 6) AS aqi, cpcb_category(pm2_5) AS cpcb, epa_category(pm2_5) AS epa,
+        advisory_level_regional(pm2_5) AS level FROM {readings} WHERE cpcb_aqi(pm2_5) > 100""", readings=_V.readings(s, d))
+
+
 # --- H: features, models, forecasts ------------------------------------------------
 
 query("impute_mean", "SELECT grid_id, round(coalesce(pm2_5, avg(pm2_5) OVER ()), 6) AS pm2_5, round(coalesce(r2m, avg(r2m) OVER ()), 6) AS r2m FROM fused")(
