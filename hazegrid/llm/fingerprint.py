@@ -14,6 +14,7 @@ Walks of many texts go forward together, one array operation per step.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.feature import Bucketizer
 
-from .common import components, mix, raw_texts, slices
+from ..session import stored
+from .common import components, in_groups, lean, mix, narrowed, slices
+from .neardup import _blocks as deal_blocks
 
 #: a fingerprint keeps about half to all of so many steps
 SAMPLE = 256
@@ -33,8 +36,6 @@ TOGETHER = 24
 #: rows per range of documents that are neighbours in order
 RANGE_ROWS = 2000
 MAX_RANGES = 20_000
-BANDS, BAND_STEPS = 24, 6
-LIKENESS = 0.6
 #: characters of a fingerprint, one per sampled step
 _SYMBOLS = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_", np.uint8)
 _PAD = 255
@@ -275,86 +276,274 @@ def against_next(docs: DataFrame) -> DataFrame:
 # --- near pairs ---------------------------------------------------------------
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Edit distance of two texts, or ``most`` + 1 if it is larger; one row of the band at a time."""
+    """Edit distance of two texts, or ``most`` + 1 if it is larger.
+
+    Rows of the table are bit vectors in whole numbers of Python, one row a
+    character of the longer text; equal beginnings and ends are left out first.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
-    y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
-    width = 2 * most + 1
-    far = np.int64(most + 1)
-    # cell k of row i stands for column i + k - most
-    shift = np.arange(width)
-    row = np.where((shift - most >= 0) & (shift - most <= len(y)), shift - most, far)
-    padded = np.concatenate([np.full(most + 1, 0xFFFFFFFF, np.uint32), y, np.full(width + 1, 0xFFFFFFFF, np.uint32)])
-    for i in range(1, len(x) + 1):
-        column = i + shift - most
-        differs = padded[i: i + width] != x[i - 1]
-        new = np.minimum(row + differs, np.append(row[1:], far) + 1)
-        new = np.where(column == 0, i, new)
-        new = np.where((column < 0) | (column > len(y)), far, new)
-        new = np.minimum.accumulate(new - shift) + shift
-        row = np.minimum(np.where((column < 0) | (column > len(y)), far, new), far)
-        if row.min() > most:
+    begin = len(os.path.commonprefix((a, b)))
+    a, b = a[begin:], b[begin:]
+    end = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = (a[: len(a) - end], b[: len(b) - end]) if end else (a, b)
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return min(len(b), most + 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | (1 << i)
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    # differences to the cell above: where it grows by one, where it shrinks by one
+    up, down, score = every, 0, len(a)
+    for done, c in enumerate(b, 1):
+        equal = where.get(c, 0)
+        across = equal | down
+        diagonal = ((((equal & up) + up) ^ up) | equal) & every
+        grows, shrinks = down | (every & ~(diagonal | up)), up & diagonal
+        score += bool(grows & top) - bool(shrinks & top)
+        # every further character can make up for one edit
+        if score - (len(b) - done) > most:
             return most + 1
-    at = len(y) - len(x) + most
-    return int(row[at])
+        grows, shrinks = ((grows << 1) | 1) & every, (shrinks << 1) & every
+        up, down = shrinks | (every & ~(across | grows)), grows & across
+    return min(score, most + 1)
+
+
+def _near(a: str, b: str, max_share: float) -> bool:
+    most = int(max_share * max(len(a), len(b)))
+    return edit_distance(a, b, most) <= most
+
+
+#: a text is walked again from places in it that its own characters choose: about one in EVERY, by a hash of GRAM characters
+GRAM, EVERY = 3, 4
+#: steps of such a walk, and how many of them a sampling keeps
+SHORT_WALK, KEPT_STEPS, SAMPLINGS = 20, 8, 4
+#: pairs that agree in fewer of 100 registers are not asked for their edit distance
+LEAST_PERCENT = 6
+#: texts beside one centre in a group of comparisons
+STAR = 256
+#: a text weighs as one in a block for each so many code points
+WEIGHT = 2000
+
+_CHOSEN = [np.sort(np.random.default_rng(41 + k).choice(SHORT_WALK, KEPT_STEPS, replace=False)) for k in range(SAMPLINGS)]
+
+
+def _short_walks(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of what short walks wrote at the sampled steps, one array per sampling, and the walks per text (one at least)."""
+    kinds = [_kinds(t) for t in texts]
+    sizes = np.array([len(k) for k in kinds], np.int64)
+    gap = np.full(GRAM, _PAD, np.uint8)
+    flat = np.concatenate([part for k in kinds for part in (k.astype(np.uint8), gap)] + [gap])
+    begins = np.cumsum(sizes + GRAM) - (sizes + GRAM)
+    grams = np.zeros(len(flat) - GRAM, np.uint64)
+    for i in range(GRAM):
+        grams = mix(grams * np.uint64(31) + flat[i: i + len(grams)] + np.uint64(1))
+    chosen = grams % np.uint64(EVERY) == 0
+    chosen &= flat[: len(chosen)] != _PAD
+    chosen[begins] = True
+    at = np.flatnonzero(chosen)
+    per_text = np.add.reduceat(chosen.astype(np.int64), begins)
+    written = np.empty((SHORT_WALK, len(at)), np.uint8)
+    for step in range(SHORT_WALK):
+        written[step] = flat[at]
+        # the filler behind a text never moves
+        at = at + _BITS[step][written[step]]
+    hashes = [mix(np.ascontiguousarray(written[c].T).view(np.uint64).ravel() + np.uint64(7 * k)) for k, c in enumerate(_CHOSEN)]
+    return hashes, per_text
+
+
+def near_registers(texts: list[str], bands: int, rows: int) -> np.ndarray:
+    """For each text ``bands`` x ``rows`` registers (u16): least hashes over its walks, each band of one sampling."""
+    hashes, per_text = _short_walks(texts)
+    begins = np.cumsum(per_text) - per_text
+    turn = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) + np.uint64(77))
+    out = np.empty((len(texts), bands * rows), np.uint16)
+    for r in range(bands * rows):
+        scrambled = (hashes[(r // rows) % SAMPLINGS] ^ (turn[r] >> np.uint64(7))) * (turn[r] | np.uint64(1))
+        out[:, r] = (mix(np.minimum.reduceat(scrambled, begins)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return out
+
+
+def _near_sketch(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                texts = batch.column("text").to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("_h"), pa.array([len(t) for t in texts], pa.int64()),
+                     pa.array([r.tobytes() for r in near_registers(texts, bands, rows)], pa.binary())],
+                    names=["doc_id", "_h", "_n", "_registers"])
+
+    return run
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rng = np.random.default_rng(5)
-    chosen = rng.integers(0, SAMPLE // 2, (BANDS, BAND_STEPS))
+def _near_bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = mix(np.arange(1, bands + 1, dtype=np.uint64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = _registers_of(batch.column("_registers")).reshape(-1, bands, rows)
+            key = np.broadcast_to(start, wide.shape[:2]).copy()
+            for r in range(rows):
+                key = mix(key + wide[:, :, r])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("node").to_numpy(), bands)), pa.array(np.repeat(batch.column("_n").to_numpy(), bands)),
+                 pa.array(key.ravel().view(np.int64))], names=["node", "_n", "_key"])
+
+    return run
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
-        for node, fingerprint in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist()):
-            own = int(fingerprint[:2], 16)
-            for level in (own, own + 1):
-                symbols = _samples(fingerprint, level)
-                padded = np.zeros(SAMPLE, np.uint8)
-                padded[: min(len(symbols), SAMPLE)] = symbols[:SAMPLE]
-                for band, at in enumerate(chosen):
-                    nodes.append(node)
-                    keys.append(f"{level}/{band}/".encode() + padded[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], names=["node", "_key"])
-
-
-def _close(max_share: float, least: float):
+        if not batch.num_rows:
+            continue
+        x, y = _registers_of(batch.column("_ra")), _registers_of(batch.column("_rb"))
+        kept = pa.array(np.flatnonzero(100 * (x == y).sum(axis=1) >= LEAST_PERCENT * x.shape[1]))
+        yield batch.select(["a", "b"]).take(kept)
+
+
+def _close(max_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, have = None, []
         for batch in batches:
-            a, b, ta, tb, fa, fb = (batch.column(c).to_pylist() for c in ("a", "b", "_ta", "_tb", "_fa", "_fb"))
-            keep = []
-            for k in range(len(a)):
-                most = int(max_share * max(len(ta[k]), len(tb[k])))
-                if likeness(fa[k], fb[k]) >= least and edit_distance(ta[k], tb[k], most) <= most:
-                    keep.append(k)
+            out_a, out_b = [], []
+            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text"))):
+                if b is None:
+                    have = [*have, text] if a == centre else [text]
+                    centre = a
+                elif a == centre and any(_near(t, text, max_share) for t in have):
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _close_to_centre(pairs: DataFrame, texts: DataFrame, max_share: float) -> DataFrame:
+    """Those of the ``pairs`` whose texts few edits turn into each other.
+
+    A centre's text comes first and is kept while the others stream by; a centre
+    with many partners is cut into groups of about ``STAR``.
+    """
+    fans = pairs.groupBy("a").agg(F.count("*").alias("_fan"))
+    salted = pairs.join(fans, "a").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_fan") / STAR)).cast("int").alias("_salt"))
+    members = salted.join(texts, salted["b"] == texts["node"]).select("a", "_salt", "b", "text")
+    heads = salted.select("a", "_salt").distinct().join(texts, F.col("a") == texts["node"]).select(
+        "a", "_salt", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(members).repartition("a", "_salt").sortWithinPartitions(
+        "_salt", "a", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "text").mapInArrow(lean(_close(max_share)), "a long, b long").distinct()
+
+
+def _close_in_blocks(max_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in in_groups(batches, ["_key", "_t", "_i", "_j"]):
+            node, part, comp, size = (group.column(c).to_numpy() for c in ("node", "_part", "_comp", "_n"))
+            major = group.column("_major").to_numpy(zero_copy_only=False)
+            sketch = _registers_of(group.column("_registers"))
+            texts = group.column("text").to_pylist()
+            kind, i, j = (group.column(c)[0].as_py() for c in ("_t", "_i", "_j"))
+            if kind == 0:
+                left, right = np.flatnonzero(~major), np.flatnonzero(major)
+            else:
+                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            # components that this block has joined, by number
+            label = {int(c): int(c) for c in np.unique(comp)}
+            found = []
+            for x in left.tolist():
+                y = right[comp[right] != comp[x]]
+                if kind and i == j:
+                    y = y[node[y] > node[x]]
+                y = y[np.abs(size[y] - size[x]) <= max_share * np.maximum(size[y], size[x])]
+                y = y[100 * (sketch[y] == sketch[x]).sum(axis=1) >= LEAST_PERCENT * sketch.shape[1]]
+                for k in y.tolist():
+                    p, q = label[int(comp[x])], label[int(comp[k])]
+                    if p != q and _near(texts[x], texts[k], max_share):
+                        label = {c: p if v == q else v for c, v in label.items()}
+                        found.append((int(node[x]), int(node[k])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))],
-                names=["a", "b"])
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def near_classes(docs: DataFrame, max_share: float = 0.1, least: float = LIKENESS) -> DataFrame:
-    """Classes of documents that few edits apart: ``doc_id``, ``class_id`` (smallest reachable ``doc_id``).
+def near_classes(docs: DataFrame, max_share: float = 0.05, bands: int = 80, rows: int = 4) -> DataFrame:
+    """Classes of documents that few edits apart: ``doc_id``, ``class_id`` (smallest reachable ``doc_id``), ``n_links``.
+
+    Two texts are linked if their edit distance is at most ``max_share`` of the
+    longer one's code points; equal texts are.  A walk over a whole text falls out
+    of step after many edits, so short walks of the same kind start at places
+    that the text's own characters choose.  Samples of their steps are hashed;
+    the least hashes fill ``bands`` x ``rows`` registers, and a band whose
+    registers all agree makes two texts candidates.  ``rows`` = 3 and 96 bands
+    find more pairs of a tenth edits, for more candidates.
+
+    Equal texts form one class first.  Every text of a bucket is compared with
+    the one there that shares buckets with the most texts.  Buckets that still
+    hold several classes after that are gone through pair by pair, in blocks of
+    bounded size.  Agreeing registers come first, then the exact edit distance.
+    ``n_links`` counts the links that this needed, 0 for a class of equal texts.
 
-    Equal texts form one class first.  Bands of sampled steps retrieve
-    candidates, each compared with the smallest document of its band; likeness of
-    the fingerprints and then the edit distance, at most ``max_share`` of the
-    longer text, confirm them.  NULL and empty texts stand alone.
+    NULL and empty texts stand alone.  Rows without a ``doc_id`` are left out; of
+    rows that repeat one every text counts.  An empty table gives an empty result.
+    Other columns are not read.  A text must fit in a task.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     some = docs.where("text <> ''").withColumn("_h", F.sha2(F.col("text"), 256))
-    kinds = some.groupBy("_h").agg(F.min("doc_id").alias("node"))
-    texts = docs.join(kinds.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
-    printed = fingerprints(texts).select(F.col("doc_id").alias("node"), "fingerprint")
-    banded = printed.mapInArrow(_bands, "node long, _key binary")
-    heads = banded.groupBy("_key").agg(F.min("node").alias("a"))
-    pairs = banded.join(heads, "_key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb")), "b").join(
-        printed.select(F.col("node").alias("a"), F.col("fingerprint").alias("_fa")), "a").join(
-        printed.select(F.col("node").alias("b"), F.col("fingerprint").alias("_fb")), "b")
-    links = sides.mapInArrow(_close(max_share, least), "a long, b long")
-    found = components(links)
-    of_text = kinds.join(found, "node", "left").select("_h", F.coalesce("component", "node").alias("_c"))
-    return docs.withColumn("_h", F.sha2(F.col("text"), 256)).join(of_text, "_h", "left").select(
-        "doc_id", F.coalesce("_c", "doc_id").alias("class_id"))
+    sketches = stored(some.mapInArrow(
+        lean(_near_sketch(bands, rows)), "doc_id long, _h string, _n long, _registers binary"), "near-sketches")
+    classes = stored(sketches.groupBy("_h").agg(F.min(F.struct("doc_id", "_n", "_registers")).alias("_m")).select(
+        "_h", F.col("_m.doc_id").alias("node"), "_m._n", "_m._registers"), "near-classes")
+    banded = classes.select("node", "_n", "_registers").mapInArrow(
+        lean(_near_bands(bands, rows)), "node long, _n long, _key long")
+    shared = banded.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
+    members = stored(banded.join(shared, "_key"), "near-bands")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """``node``, ``text`` of classes, one row each."""
+        found = narrowed(docs, nodes).select(F.col("doc_id").alias("node"), F.sha2(F.col("text"), 256).alias("_h"), "text")
+        wanted = classes.select("node", "_h").join(nodes, "node", "left_semi")
+        return found.join(wanted, ["node", "_h"]).groupBy("node", "_h").agg(F.max("text").alias("text")).drop("_h")
+
+    company = members.groupBy("node").agg(F.sum("_size").alias("_company"))
+    centres = members.join(company, "node").groupBy("_key").agg(
+        F.max(F.struct("_company", (-F.col("node")).alias("_m"))).alias("_c")).select("_key", (-F.col("_c._m")).alias("a"))
+    stars = members.join(centres, "_key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("node").alias(name), F.col("_n").alias(f"_n{name}"), F.col("_registers").alias(f"_r{name}"))
+
+    sides = stars.join(side("a"), "a").join(side("b"), "b").where(
+        F.abs(F.col("_na") - F.col("_nb")) <= F.greatest("_na", "_nb") * max_share)
+    pairs = stored(sides.select("a", "b", "_ra", "_rb").mapInArrow(lean(_agree), "a long, b long").distinct(), "near-stars")
+    links = stored(_close_to_centre(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), max_share), "near-links")
+    found = stored(components(links), "near-components")
+
+    open_members = members.where("_size > 2").join(found, "node", "left").select(
+        "_key", "node", "_n", F.coalesce("component", "node").alias("_comp"))
+    weight = F.greatest(F.col("_n") / WEIGHT, F.lit(1.0))
+    counted = open_members.groupBy("_key", "_comp").agg(F.sum(weight).alias("_k"))
+    mixed = counted.groupBy("_key").agg(
+        F.count("*").alias("_comps"), F.sum("_k").alias("_size"), F.max(F.struct("_k", "_comp")).alias("_m")
+    ).where("_comps > 1").select("_key", "_size", F.col("_m._k").alias("_in_most"), F.col("_m._comp").alias("_most"))
+    dealt = stored(open_members.drop("_n").join(mixed, "_key"), "near-mixed")
+    wanted = stored(dealt.select("node").distinct(), "near-wanted")
+    content = stored(classes.select("node", "_n", "_registers").join(texts_of(wanted), "node"), "near-texts")
+    blocks = deal_blocks(dealt).join(content, "node").repartition("_key", "_t", "_i", "_j").sortWithinPartitions(
+        "_key", "_t", "_i", "_j")
+    more = stored(blocks.mapInArrow(lean(_close_in_blocks(max_share)), "a long, b long").distinct(), "near-more")
+
+    merged = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    ends = links.union(more).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
+    of_text = classes.select("_h", "node").join(merged, "node", "left").join(ends, "node", "left").select(
+        "_h", F.coalesce("component", "node").alias("_c"), "_links")
+    return docs.withColumn("_h", F.sha2(F.col("text"), 256)).select("doc_id", "_h").join(of_text, "_h", "left").select(
+        "doc_id", F.coalesce("_c", "doc_id").alias("class_id"), F.coalesce("_links", F.lit(0)).alias("n_links"))

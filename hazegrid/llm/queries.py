@@ -79,6 +79,11 @@ def op8_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.against_next(table(spark, folder, "documents"))
 
 
+def edited_copy_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document whose text few edits turn into another's: banding and edit distance of op8's operator."""
+    return fingerprint.near_classes(table(spark, folder, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its largest tiled coverage of a benchmark item."""
     return decontaminate.flag_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -119,6 +124,7 @@ QUERIES = {
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_lm_scoring": op13_lm_scoring,
     "pages_language_id": pages_language_id,
+    "edited_copy_classes": edited_copy_classes,
 }
 
 _OP3 = r"""

@@ -209,9 +209,97 @@ def test_against_next(spark, monkeypatch):
     assert fingerprint.against_next(docs.where("doc_id = 0")).count() == 1
 
 
+def edited_by(text, share, rng):
+    letters = list(text)
+    for _ in range(int(share * len(text))):
+        at, kind = rng.randrange(len(letters)), rng.random()
+        if kind < 1 / 3:
+            letters[at] = rng.choice("abcdefghijklmnop ")
+        elif kind < 2 / 3 or len(letters) < 2:
+            letters.insert(at, rng.choice("abcdefghijklmnop "))
+        else:
+            del letters[at]
+    return "".join(letters)
+
+
+def prose(rng, n):
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvé") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    text = ""
+    while len(text) < n:
+        text += rng.choice(words) + " "
+    return text[:n]
+
+
+def classes_by_distance(rows, share):
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            most = int(share * max(len(a or ""), len(b or "")))
+            if a and b and fingerprint.edit_distance(a, b, most) <= most:
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in parent}
+
+
 def test_near_classes(spark):
     rng = random.Random(12)
     base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(600))
-    rows = [(1, base), (2, base[:300] + "X" + base[300:]), (3, base), (4, "".join(rng.choice("abcdefghijklmnop ") for _ in range(600))), (5, None), (6, "")]
-    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+    rows = [(1, base), (2, base[:300] + "X" + base[300:]), (3, base), (4, "".join(rng.choice("abcdefghijklmnop ") for _ in range(600))), (5, None), (6, ""), (None, base), (7, "a"), (7, "a"), (8, "b")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _h int")
+    got = sorted(tuple(r) for r in fingerprint.near_classes(docs).collect())
+    assert [(i, c) for i, c, _ in got] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (7, 7), (8, 8)]
+    assert [n for *_, n in got] == [1, 1, 1, 0, 0, 0, 0, 0, 0]
+    assert fingerprint.near_classes(docs.limit(0)).count() == 0
+
+
+def test_near_classes_equal_all_pairs(spark, monkeypatch):
+    # small blocks: the texts with one header share buckets and are no copies of each other
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(13)
+    header = prose(rng, 500)
+    rows = [header + prose(rng, 120) for _ in range(40)]
+    for n, copies in ((60, 8), (300, 8), (900, 12), (6000, 4)):
+        first = prose(rng, n)
+        rows += [first] + [edited_by(first, rng.choice([0.01, 0.02, 0.045]), rng) for _ in range(copies)]
+    rows += [edited_by(t, 0.02, rng) for t in rows[:10]]
+    chain = prose(rng, 400)
+    for _ in range(6):
+        rows.append(chain)
+        chain = edited_by(chain, 0.04, rng)
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_classes(docs).collect()}
+    assert got == classes_by_distance(rows, 0.05)
+
+
+def test_recall_of_near_bands():
+    """Pairs that a band retrieves and the registers let through, by share of edits."""
+    rng = random.Random(14)
+
+    def recall(length, share, bands, rows):
+        found = 0
+        for _ in range(60):
+            text = prose(rng, length)
+            x, y = fingerprint.near_registers([text, edited_by(text, share, rng)], bands, rows)
+            same = x == y
+            found += bool(same.reshape(bands, rows).all(axis=1).any() and 100 * same.sum() >= fingerprint.LEAST_PERCENT * len(x))
+        return found / 60
+
+    for length in (60, 300, 2000, 10_000):
+        for share in (0.01, 0.02, 0.05):
+            assert recall(length, share, 80, 4) >= 0.9, (length, share)
+
+
+def test_registers_do_not_depend_on_company():
+    rng = random.Random(15)
+    texts = [prose(rng, n) for n in (1, 2, 3, 4, 30, 500)] + ["é", "\U0001F600" * 9]
+    together = fingerprint.near_registers(texts, 8, 3)
+    for t, r in zip(texts, together):
+        assert (fingerprint.near_registers([t], 8, 3)[0] == r).all()
