@@ -275,11 +275,49 @@ def against_next(docs: DataFrame) -> DataFrame:
 
 # --- near pairs ---------------------------------------------------------------
 
+def _in_band(a: str, b: str, most: int) -> int:
+    """Edit distance by bit vectors over the diagonals that ``most`` edits reach (Hyyrö 2003); beyond it ``most`` + 1.
+
+    Row j of the table keeps the cells of ``width`` diagonals, the lowest in the
+    top bit; the characters' places move by one bit a row.  Needs lengths of at
+    least ``most`` that differ by at most as much.
+    """
+    width = 2 * most + 2
+    every, lowest, along = (1 << width) - 1, 1 << (width - 1), 1 << (width - 2)
+    where: dict[str, int] = {}
+    points = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    order = np.argsort(points, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(points[order])) + 1):
+        marks = np.zeros(len(a), np.uint8)
+        marks[places] = 1
+        where[a[places[0]]] = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+    up, down, score = (every << (width - most - 1)) & every, 0, most
+    turn = len(a) - most
+    shift = most + 1 - width
+    for j, c in enumerate(b):
+        places = where.get(c, 0)
+        equal = (places << -shift if shift < 0 else places >> shift) & every
+        shift += 1
+        diagonal = ((((equal & up) + up) ^ up) | equal | down) & every
+        grows, shrinks = down | (every & ~(diagonal | up)), diagonal & up
+        if j < turn:
+            # down the lowest diagonal, then along the last row
+            score += not diagonal & lowest
+        else:
+            score += bool(grows & along) - bool(shrinks & along)
+            along >>= 1
+        if score > most + (len(b) - turn):
+            return most + 1
+        slid = diagonal >> 1
+        up, down = shrinks | (every & ~(slid | grows)), slid & grows
+    return min(score, most + 1)
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edit distance of two texts, or ``most`` + 1 if it is larger.
 
-    Rows of the table are bit vectors in whole numbers of Python, one row a
-    character of the longer text; equal beginnings and ends are left out first.
+    Equal beginnings and ends are left out, then ever wider bands are tried up to
+    the one that ``most`` edits need, so the time follows the distance.
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -291,24 +329,15 @@ def edit_distance(a: str, b: str, most: int) -> int:
         a, b = b, a
     if not a:
         return min(len(b), most + 1)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << i)
-    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    # differences to the cell above: where it grows by one, where it shrinks by one
-    up, down, score = every, 0, len(a)
-    for done, c in enumerate(b, 1):
-        equal = where.get(c, 0)
-        across = equal | down
-        diagonal = ((((equal & up) + up) ^ up) | equal) & every
-        grows, shrinks = down | (every & ~(diagonal | up)), up & diagonal
-        score += bool(grows & top) - bool(shrinks & top)
-        # every further character can make up for one edit
-        if score - (len(b) - done) > most:
-            return most + 1
-        grows, shrinks = ((grows << 1) | 1) & every, (shrinks << 1) & every
-        up, down = shrinks | (every & ~(across | grows)), grows & across
-    return min(score, most + 1)
+    # more edits than the longer text has characters are never needed
+    most = min(most, len(b))
+    reach = min(most, max(16, len(b) - len(a)))
+    while True:
+        # filler that only meets itself makes both texts long enough for the band
+        found = _in_band(a + "\0" * reach, b + "\0" * reach, reach)
+        if found <= reach or reach == most:
+            return found
+        reach = min(most, 8 * reach)
 
 
 def _near(a: str, b: str, max_share: float) -> bool:
