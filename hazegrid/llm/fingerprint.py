@@ -345,12 +345,19 @@ def _near(a: str, b: str, max_share: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def agreement(n: np.ndarray, max_share: float) -> np.ndarray:
+    """Share of equal registers below which a pair is not asked for its edit distance; ``n`` is the longer text's length."""
+    return np.maximum(LEAST, (1 - max_share) ** SPAN - MARGIN - MARGIN_SHORT / np.sqrt(n))
+
+
 #: a text is walked again from places in it that its own characters choose: about one in EVERY, by a hash of GRAM characters
 GRAM, EVERY = 3, 4
 #: steps of such a walk, and how many of them a sampling keeps
 SHORT_WALK, KEPT_STEPS, SAMPLINGS = 20, 8, 4
-#: pairs that agree in fewer of 100 registers are not asked for their edit distance
-LEAST_PERCENT = 6
+#: characters that a register depends on: at a share e of edits about (1 - e) ^ SPAN of the registers agree
+SPAN = 13
+#: margins below that share of agreeing registers: for bursts of edits, and for the few walks of a text of n characters by 1 / sqrt(n)
+MARGIN, MARGIN_SHORT, LEAST = 0.15, 2.2, 0.04
 #: texts beside one centre in a group of comparisons
 STAR = 256
 #: a text weighs as one in a block for each so many code points
@@ -429,13 +436,17 @@ def _near_bands(bands: int, rows: int):
     return run
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = _registers_of(batch.column("_ra")), _registers_of(batch.column("_rb"))
-        kept = pa.array(np.flatnonzero(100 * (x == y).sum(axis=1) >= LEAST_PERCENT * x.shape[1]))
-        yield batch.select(["a", "b"]).take(kept)
+def _agree(max_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = _registers_of(batch.column("_ra")), _registers_of(batch.column("_rb"))
+            longer = np.maximum(batch.column("_na").to_numpy(), batch.column("_nb").to_numpy())
+            kept = pa.array(np.flatnonzero((x == y).mean(axis=1) >= agreement(longer, max_share)))
+            yield batch.select(["a", "b"]).take(kept)
+
+    return run
 
 
 def _close(max_share: float):
@@ -492,7 +503,7 @@ def _close_in_blocks(max_share: float):
                 if kind and i == j:
                     y = y[node[y] > node[x]]
                 y = y[np.abs(size[y] - size[x]) <= max_share * np.maximum(size[y], size[x])]
-                y = y[100 * (sketch[y] == sketch[x]).sum(axis=1) >= LEAST_PERCENT * sketch.shape[1]]
+                y = y[(sketch[y] == sketch[x]).mean(axis=1) >= agreement(np.maximum(size[y], size[x]), max_share)]
                 for k in y.tolist():
                     p, q = label[int(comp[x])], label[int(comp[k])]
                     if p != q and _near(texts[x], texts[k], max_share):
@@ -518,7 +529,8 @@ def near_classes(docs: DataFrame, max_share: float = 0.05, bands: int = 80, rows
     Equal texts form one class first.  Every text of a bucket is compared with
     the one there that shares buckets with the most texts.  Buckets that still
     hold several classes after that are gone through pair by pair, in blocks of
-    bounded size.  Agreeing registers come first, then the exact edit distance.
+    bounded size.  A share of agreeing registers that ``max_share`` leads one to
+    expect comes first (``agreement``), then the exact edit distance.
     ``n_links`` counts the links that this needed, 0 for a class of equal texts.
 
     NULL and empty texts stand alone.  Rows without a ``doc_id`` are left out; of
@@ -552,7 +564,7 @@ def near_classes(docs: DataFrame, max_share: float = 0.05, bands: int = 80, rows
 
     sides = stars.join(side("a"), "a").join(side("b"), "b").where(
         F.abs(F.col("_na") - F.col("_nb")) <= F.greatest("_na", "_nb") * max_share)
-    pairs = stored(sides.select("a", "b", "_ra", "_rb").mapInArrow(lean(_agree), "a long, b long").distinct(), "near-stars")
+    pairs = stored(sides.select("a", "b", "_na", "_nb", "_ra", "_rb").mapInArrow(lean(_agree(max_share)), "a long, b long").distinct(), "near-stars")
     links = stored(_close_to_centre(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), max_share), "near-links")
     found = stored(components(links), "near-components")
 

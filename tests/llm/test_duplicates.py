@@ -289,7 +289,7 @@ def test_recall_of_near_bands():
             text = prose(rng, length)
             x, y = fingerprint.near_registers([text, edited_by(text, share, rng)], bands, rows)
             same = x == y
-            found += bool(same.reshape(bands, rows).all(axis=1).any() and 100 * same.sum() >= fingerprint.LEAST_PERCENT * len(x))
+            found += bool(same.reshape(bands, rows).all(axis=1).any() and same.mean() >= fingerprint.agreement(length, max(share, 0.05)))
         return found / 60
 
     for length in (60, 300, 2000, 10_000):
