@@ -419,19 +419,23 @@ def _registers_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
+def _band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    wide = sketch.reshape(-1, bands, rows)
+    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), wide.shape[:2]).copy()
+    for r in range(rows):
+        key = mix(key + wide[:, :, r])
+    return key.view(np.int64)
+
+
 def _near_bands(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            wide = _registers_of(batch.column("_registers")).reshape(-1, bands, rows)
-            key = np.broadcast_to(start, wide.shape[:2]).copy()
-            for r in range(rows):
-                key = mix(key + wide[:, :, r])
+            key = _band_keys(_registers_of(batch.column("_registers")), bands, rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(batch.column("node").to_numpy(), bands)), pa.array(np.repeat(batch.column("_n").to_numpy(), bands)),
-                 pa.array(key.ravel().view(np.int64))], names=["node", "_n", "_key"])
+                 pa.array(key.ravel())], names=["node", "_n", "_key"])
 
     return run
 
@@ -483,12 +487,14 @@ def _close_to_centre(pairs: DataFrame, texts: DataFrame, max_share: float) -> Da
     return rows.select("a", "b", "text").mapInArrow(lean(_close(max_share)), "a long, b long").distinct()
 
 
-def _close_in_blocks(max_share: float):
+def _close_in_blocks(max_share: float, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in in_groups(batches, ["_key", "_t", "_i", "_j"]):
             node, part, comp, size = (group.column(c).to_numpy() for c in ("node", "_part", "_comp", "_n"))
             major = group.column("_major").to_numpy(zero_copy_only=False)
             sketch = _registers_of(group.column("_registers"))
+            # a pair that shares several buckets is compared in that of its first common band
+            here, keys = group.column("_key")[0].as_py(), _band_keys(sketch, bands, rows)
             texts = group.column("text").to_pylist()
             kind, i, j = (group.column(c)[0].as_py() for c in ("_t", "_i", "_j"))
             if kind == 0:
@@ -504,6 +510,7 @@ def _close_in_blocks(max_share: float):
                     y = y[node[y] > node[x]]
                 y = y[np.abs(size[y] - size[x]) <= max_share * np.maximum(size[y], size[x])]
                 y = y[(sketch[y] == sketch[x]).mean(axis=1) >= agreement(np.maximum(size[y], size[x]), max_share)]
+                y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == here]
                 for k in y.tolist():
                     p, q = label[int(comp[x])], label[int(comp[k])]
                     if p != q and _near(texts[x], texts[k], max_share):
@@ -580,7 +587,7 @@ def near_classes(docs: DataFrame, max_share: float = 0.05, bands: int = 80, rows
     content = stored(classes.select("node", "_n", "_registers").join(texts_of(wanted), "node"), "near-texts")
     blocks = deal_blocks(dealt).join(content, "node").repartition("_key", "_t", "_i", "_j").sortWithinPartitions(
         "_key", "_t", "_i", "_j")
-    more = stored(blocks.mapInArrow(lean(_close_in_blocks(max_share)), "a long, b long").distinct(), "near-more")
+    more = stored(blocks.mapInArrow(lean(_close_in_blocks(max_share, bands, rows)), "a long, b long").distinct(), "near-more")
 
     merged = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     ends = links.union(more).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_links"))
