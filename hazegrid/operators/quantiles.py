@@ -1,12 +1,18 @@
 """Exact quantiles without gathering a group in one task.
 
-Equal values of a group are folded into counts once and the counts are stored.
-Then the value axis is narrowed round by round: count per bucket (combined
-before the shuffle), find the bucket that holds each wanted rank, look closer at
-those buckets only.  A bucket is cut between its smallest and its largest value,
-which fall into different parts, so every round leaves fewer distinct values and
-the search ends by itself.  Infinities are values of their own and are counted
-apart.
+The rows are read twice.  The first reading makes a mergeable quantile sketch per
+group, which brackets each wanted rank.  The second folds equal values inside the
+brackets into counts, and all rows of a gap between brackets into one count, so
+what is stored is a few hundredths of the rows at most and still has every rank
+in its place.  A rank that falls into a gap (the sketch errs by chance) sends its
+group through a third reading, in which all its values are folded.
+
+Among the stored counts the value axis is narrowed round by round: count per
+bucket (combined before the shuffle), find the bucket that holds each wanted
+rank, look closer at those buckets only.  A bucket is cut between its smallest and
+its largest value, which fall into different parts, so every round leaves fewer
+distinct values and the search ends by itself.  Infinities are values of their own
+and are counted apart.
 """
 
 from __future__ import annotations
@@ -19,12 +25,19 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-# first round: about a thousand buckets per factor of e, whatever the data's range
-_LOG_STEPS = 1000.0
+# first round: about ten thousand buckets per factor of e, whatever the data's range
+_LOG_STEPS = 10_000.0
 _LOG_UNIT = 1e-3
 # later rounds: linear parts of the bucket in view
 _PARTS = 4096
 
+#: size of a sketch: about 3,000 values whatever it has seen
+SKETCH_K = 1024
+#: half width of a bracket as a share of the rows: twice the sketch's error at 99 % confidence
+REACH = 2 * 2.296 / SKETCH_K ** 0.9021
+#: rows on each side of a wanted rank that a bracket spans at least, for the rank's rounding in small groups
+LEAST_REACH = 2
+
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``by``, ``n`` (values present), one column per entry of ``probs``.
@@ -36,10 +49,55 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: S
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     grouped = [F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
     rows = df.select(*grouped, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    folded = stored(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w")), "values")
+    brackets = stored(_brackets(rows, probs, keys), "brackets")
+    folded = stored(_between_brackets(rows, brackets, len(probs), keys), "values")
     found = _search(folded, probs, keys)
+    beside = _beside(found, brackets, keys)
+    sure = F.lit(True)
+    for k in range(len(probs)):
+        sure = sure & F.col(f"_{k}_0").between(F.col(f"_low{k}"), F.col(f"_high{k}"))
+        sure = sure & F.col(f"_{k}_1").between(F.col(f"_low{k}"), F.col(f"_high{k}"))
+    missed = beside.where(~sure).select(*keys)
+    if not missed.isEmpty():
+        again = stored(_beside(rows, missed, keys).groupBy(*keys, "_v").agg(F.count("*").alias("_w")), "values")
+        found = beside.where(sure).select(*found.columns).unionByName(_search(again, probs, keys))
     names = [F.col(k).alias(b) for b, k in zip(by, keys)]
-    return found.select(*names, "n", *probs)
+    return _interpolated(found, probs).select(*names, "n", *probs)
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on the group; NULL groups meet too."""
+    renamed = right.withColumnsRenamed({k: f"b{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"b{k}"))
+    return left.join(renamed, same).drop(*[f"b{k}" for k in keys])
+
+
+def _brackets(rows: DataFrame, probs: Mapping[str, float], keys: list[str]) -> DataFrame:
+    """Per group and wanted quantile ``k`` the interval ``_low{k}`` to ``_high{k}`` that should hold both of its ranks."""
+    made = rows.groupBy(*keys).agg(
+        F.count("*").alias("_total"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        F.kll_sketch_agg_double("_v", F.lit(SKETCH_K)).alias("_sketch"))
+    small = F.col("_total") * REACH < LEAST_REACH
+    ends = []
+    for k, p in enumerate(probs.values()):
+        low, high = (F.kll_sketch_get_quantile_double("_sketch", F.lit(min(1.0, max(0.0, p + side)))) for side in (-REACH, REACH))
+        ends += [F.when(small | F.lit(p <= REACH), F.col("_least")).otherwise(low).alias(f"_low{k}"),
+                 F.when(small | F.lit(p >= 1 - REACH), F.col("_most")).otherwise(high).alias(f"_high{k}")]
+    return made.select(*keys, *ends)
+
+
+def _between_brackets(rows: DataFrame, brackets: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """Counts ``_w`` of each value inside a bracket, and of each gap between brackets under its smallest value."""
+    v = F.col("_v")
+    inside, gap = F.lit(False), F.lit(0)
+    for k in range(n):
+        inside = inside | v.between(F.col(f"_low{k}"), F.col(f"_high{k}"))
+        gap = gap + (F.col(f"_high{k}") < v).cast("int")
+    return _beside(rows, brackets, keys).groupBy(
+        *keys, F.when(inside, v).alias("_in"), F.when(~inside, gap).alias("_gap")).agg(
+        F.min("_v").alias("_v"), F.count("*").alias("_w")).drop("_in", "_gap")
 
 
 def _log_bucket(v: Column) -> Column:
@@ -51,7 +109,7 @@ def _log_bucket(v: Column) -> Column:
 def _search(folded: DataFrame, probs: Mapping[str, float], keys: list[str]) -> DataFrame:
     histogram = folded.groupBy(*keys, _log_bucket(F.col("_v")).alias("_b")).agg(
         F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # a group has at most about a million log buckets, however many rows it has
+    # a group has at most about fourteen million log buckets, those of its brackets only
     ordered = W.partitionBy(*keys)
     counted = (
         histogram
@@ -81,13 +139,17 @@ def _search(folded: DataFrame, probs: Mapping[str, float], keys: list[str]) -> D
         F.max(F.when((F.col("_name") == k) & (F.col("_side") == side), F.col("_lo"))).alias(f"_{k}_{side}")
         for k in range(len(probs)) for side in (0, 1)
     ]
+    return done.groupBy(*keys).agg(F.max("_total").alias("n"), *sides)
+
+
+def _interpolated(found: DataFrame, probs: Mapping[str, float]) -> DataFrame:
     per_name = []
     for k, (name, p) in enumerate(probs.items()):
         position = F.lit(float(p)) * (F.col("n") - 1)
         share = position - F.floor(position)
         low, high = F.col(f"_{k}_0"), F.col(f"_{k}_1")
         per_name.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
-    return done.groupBy(*keys).agg(F.max("_total").alias("n"), *sides).select(*keys, "n", *per_name)
+    return found.select("*", *per_name)
 
 
 def _look_closer(folded: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

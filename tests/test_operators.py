@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazegrid.operators import checks, filters, ranking, stats
+from hazegrid.operators import checks, filters, quantiles, ranking, stats
 from hazegrid.operators.quantiles import exact_quantiles
 from hazegrid.plans import forecast, fusion, models
+from hazegrid.session import stored
 
 NAN = float("nan")
 
@@ -35,6 +36,42 @@ def test_quantiles_of_odd_inputs(spark):
     assert exact_quantiles(frame.limit(0), "v", {"p": 0.5}, ["odd name"]).count() == 0
 
 
+@pytest.mark.parametrize("reach", [quantiles.REACH, 0.2, 0.0])
+def test_quantiles_whatever_the_brackets_hold(spark, monkeypatch, reach):
+    """Sketches that err, gaps with many rows, one frequent value, small groups beside large ones."""
+    monkeypatch.setattr(quantiles, "REACH", reach)
+    monkeypatch.setattr(quantiles, "LEAST_REACH", 2 if reach else 0)
+    monkeypatch.setattr(quantiles, "SKETCH_K", 8 if reach == 0 else quantiles.SKETCH_K)
+    rng = random.Random(4)
+    data = [("large", rng.lognormvariate(3, 2)) for _ in range(20_000)] + [("large", 7.5)] * 3000
+    data += [(f"s{n}", rng.uniform(-1, 1)) for n in range(1, 9) for _ in range(n)] + [("flat", 2.0)] * 500
+    data += [("ends", math.inf)] * 400 + [("ends", -math.inf)] * 400 + [("ends", float(k)) for k in range(400)]
+    probs = {f"q{k}": p for k, p in enumerate((0.0, 0.1, 0.105, 0.5, 0.75, 0.999, 1.0))}
+    found = {r["g"]: r for r in exact_quantiles(spark.createDataFrame(data, "g string, v double").repartition(5), "v", probs, ["g"]).collect()}
+    assert set(found) == {g for g, _ in data}
+    for g, row in found.items():
+        own = np.array([v for h, v in data if h == g])
+        assert row["n"] == len(own)
+        for name, p in probs.items():
+            with np.errstate(invalid="ignore"):
+                low, high = (float(np.quantile(own, p, method=m)) for m in ("lower", "higher"))
+            share = p * (len(own) - 1) % 1
+            assert row[name] == (low if low == high else pytest.approx(low * (1 - share) + high * share, rel=1e-9))
+
+
+def test_only_brackets_are_stored_in_full(spark, monkeypatch):
+    kept = {}
+
+    def spy(df, label):
+        kept.setdefault(label, []).append(stored(df, label))
+        return kept[label][-1]
+
+    monkeypatch.setattr(quantiles, "stored", spy)
+    rows = spark.range(200_000).select((F.xxhash64("id") / 1e9).alias("v"))
+    exact_quantiles(rows, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).collect()
+    assert kept["values"][0].count() < 0.06 * 200_000 and kept["values"][0].agg(F.sum("_w")).first()[0] == 200_000
+
+
 def test_summary_of_nothing(spark):
     row = stats.summary_stats(spark.createDataFrame([], "v double"), "v").first()
     assert row["count"] == 0 and row["median"] is None
