@@ -202,7 +202,8 @@ class Block:
             h = mix(h + words[j: j + n])
         least, place = h, np.zeros(n, np.uint8)
         width = 1
-        while width < PLACES:
+        # a block shorter than a window has none
+        while n >= WINDOW and width < PLACES:
             step = min(width, PLACES - width)
             later = least[step:]
             take = later < least[: n - step]

@@ -154,6 +154,13 @@ def test_repeats_of_nothing_and_spans(spark):
     assert {r["text"] for r in suffixdedup.texts_left(suffixdedup.remove_repeats(docs)).collect()} == {"x" + shared, "yyé"}
 
 
+def test_repeats_of_short_texts_alone():
+    for n in range(60):
+        block = suffixdedup.Block(np.array([1]), np.array([n]), b"a" * n)
+        block.anchors()
+        assert sum(block.run_last - block.run_first + 1) == max(0, n - 49)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
