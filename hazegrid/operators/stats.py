@@ -25,6 +25,17 @@ def with_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame
     return left.join(renamed, same, "left").drop(*[f"_k{i}" for i in range(len(by))])
 
 
+def steady_mean(column: str) -> Column:
+    """Mean that does not hang on the order of the rows.
+
+    Twelve decimal digits of a value add up exactly; only what a value has beyond
+    them, and what is no such decimal (infinite, beyond 10^18), is summed as a double.
+    """
+    value = F.col(column)
+    digits = F.when(value.isNotNull(), F.coalesce(value.try_cast("decimal(30,12)"), F.lit(0).cast("decimal(30,12)")))
+    return (F.sum(digits).cast("double") + F.sum(value - digits.cast("double"))) / F.nullif(F.count(value), F.lit(0))
+
+
 def summary_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean, median, sample standard deviation, minimum, maximum and count."""
     basic = df.groupBy(*by).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import cpcb_aqi, cpcb_category
+from ..operators.stats import steady_mean
 from ..session import scratch_path
 
 
@@ -19,10 +20,11 @@ def windowed_aqi(readings: DataFrame, hours: int = 6, late: str = "1 hour") -> D
     """Mean PM2.5 and index per cell and tumbling window; works on streams and tables.
 
     On a stream, readings later than ``late`` behind the newest one are dropped.
+    The mean is the same in whatever order readings arrive.
     """
     rows = readings.withWatermark("datetime", late) if readings.isStreaming else readings
     grouped = rows.groupBy(F.window("datetime", f"{hours} hours"), "cell_lat", "cell_lon").agg(
-        F.avg("pm2_5").alias("mean_pm"), F.count("pm2_5").alias("count"))
+        steady_mean("pm2_5").alias("mean_pm"), F.count("pm2_5").alias("count"))
     return grouped.select(
         F.col("window.start").alias("window_start"), "cell_lat", "cell_lon", "mean_pm", "count",
         cpcb_aqi("mean_pm").alias("aqi"), cpcb_category("mean_pm").alias("category"))

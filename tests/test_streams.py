@@ -72,3 +72,14 @@ def test_windows_go_on_after_a_restart(spark, tmp_path):
     add(("2024-01-01 02:00:00", 99.0), ("2024-01-01 10:00:00", 60.0))
     add(("2024-01-02 00:00:00", 5.0))
     assert run() == [("2024-01-01 00:00:00", 10.0, 1), ("2024-01-01 06:00:00", pytest.approx(40.0), 3)]
+
+
+def test_mean_of_a_window_is_the_same_in_any_order(spark):
+    values = [0.1] * 9 + [1e12, 0.1]
+    for order in (values, values[::-1]):
+        rows = [("2024-01-01 00:00:00", v) for v in order] + [("2024-01-02 00:00:00", 0.1)] * 10 + [("2024-01-03 00:00:00", None), ("2024-01-04 00:00:00", float("nan"))]
+        frame = spark.createDataFrame(rows, "t string, pm2_5 double").coalesce(1).selectExpr(
+            "cast(t as timestamp) datetime", "1 cell_lat", "1 cell_lon", "pm2_5")
+        got = {str(r["window_start"])[8:10]: (r["mean_pm"], r["count"]) for r in streams.windowed_aqi(frame).collect()}
+        assert got["01"] == ((10 ** 12 + 1) / 11, 11) and got["02"] == (0.1, 10) and got["03"] == (None, 0)
+        assert got["04"][0] != got["04"][0]
