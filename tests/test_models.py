@@ -77,3 +77,19 @@ def test_band_keeps_training_cells_away(spark):
     assert sorted(tested) == sorted(cells)
     with pytest.raises(ValueError):
         checks.station_splits(frame, "a", "b", 4, size=2, guard=3)
+
+
+@pytest.mark.parametrize("least", [1, 40])
+def test_folded_rows_train_the_same_trees(spark, least):
+    rng = random.Random(5)
+    data = [(float(rng.randrange(6)), rng.choice([None, 1.0, 2.0, 5.0])) for _ in range(2000)]
+    rows = spark.createDataFrame([(a, b, 3 * a + (b or 0) + rng.random()) for a, b in data], "a double, b double, y double")
+    estimator = models.boosted("y", rounds=4, depth=3).setMinInstancesPerNode(least)
+    assert models.folded(rows, ["a", "b"], "y").count() <= 24 * models.DRAWS
+    assert models.folded(rows, ["a", "b"], "y").agg(F.sum(models.WEIGHT), F.sum(F.col(models.WEIGHT) * F.col("y"))).first() == pytest.approx(
+        (2000, rows.agg(F.sum("y")).first()[0]))
+    steps = models.prepared(rows, ["a", "b"])
+    whole = estimator.fit(steps.transform(rows)).transform(steps.transform(rows))
+    kinds = {(r["a"], r["b"]): r["prediction"] for r in whole.collect()}
+    got = models.predictor(models.train(rows, ["a", "b"], estimator))(rows)
+    assert {(r["a"], r["b"]): r["prediction"] for r in got.collect()} == pytest.approx(kinds)
