@@ -6,13 +6,15 @@ level until one is missing, and the last one found gives the count.  Levels are
 never too low, and one too high with the probability that all probes of an
 absent entry hit.
 
-Each n-gram belongs to one block of 2^16 bits, each entry to one word of it.  Spark sorts the n-grams by hash,
-so a task adds up and fills one block after the other with no more than a block
-in memory; the blocks together are the filter that goes to the workers.  The
+Each n-gram belongs to one block of 2^16 bits, each entry to one word of it.  Slices of text send their distinct
+n-grams to buckets of blocks, packed; a task adds up one bucket after the other and fills its blocks, which
+together are the filter that goes to the workers.  The
 filter grows with the training tokens up to ``MAX_BITS``.  From there on a block
-whose n-grams exceed its load starts its scale at the lowest level that fits:
-rarer n-grams then count as unseen and the shorter context answers for them.
-All counting covers all rows at any size.
+whose n-grams exceed its load starts its scale at the lowest level that fits.
+Rarer n-grams, and those few levels above that a false hit might feign, then
+stand in a table with their levels.  Slices of text ask it, bucket by bucket, for
+every n-gram that the filter does not find well above that level, and get a level
+each.  All counting covers all rows at any size.
 
 Probabilities mix each order with the shorter one by a Dirichlet prior; the
 shortest order adds one to each count and keeps one place for unseen words.
@@ -23,16 +25,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import WordHashes, lean, mix, raw_texts, slices
+from .common import in_groups, lean, mix, raw_texts, slices
 
 ORDER = 2
 #: weight of the shorter context, in occurrences
@@ -50,12 +53,17 @@ BITS_PER_TOKEN, BITS_PER_TYPE = 7, 12
 MAX_BITS = 1 << 30
 #: words whose exact counts go to the workers, at most: 4 MB; the others are joined
 HEAD = 1 << 18
+#: n-grams of the training text per bucket, before equal ones are added up; a bucket has one block at least
+BUCKET_GRAMS = 1 << 21
+#: levels from a raised block's lowest one on that its table confirms
+CONFIRM = 3
+#: beyond this many buckets a task takes several
+MAX_TASKS = 20_000
 
 START, END = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b"\n", b" "))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
 _S32 = np.uint64(32)
-_HASHES = WordHashes()
 
 
 def _least_counts() -> np.ndarray:
@@ -74,11 +82,58 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 # --- tokens and n-grams --------------------------------------------------------
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def _short_hashes(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """xxh64 of the ``length`` bytes from each place on, fewer than 32."""
+
+    def read(kind: str, offset: int) -> np.ndarray:
+        places = np.ndarray((len(data) - 8,), kind, data, strides=(1,))
+        return places[at + offset].astype(np.uint64)
+
+    h = np.full(len(at), _P5 + np.uint64(length), np.uint64)
+    done = 0
+    while done + 8 <= length:
+        h = _turned(h ^ (_turned(read("<u8", done) * _P2, 31) * _P1), 27) * _P1 + _P4
+        done += 8
+    if done + 4 <= length:
+        h = _turned(h ^ (read("<u4", done) * _P1), 23) * _P2 + _P3
+        done += 4
+    while done < length:
+        h = _turned(h ^ (read("u1", done) * _P5), 11) * _P1
+        done += 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> _S32)
+
+
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, each between its start and its end, and the index of every start."""
-    words = [t.lower().split() for t in texts]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    values = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    """Word hashes of all texts in a row, each between its start and its end, and the index of every start.
+
+    Words are split at space and the bytes 9 to 13; only A-Z are lower-cased.
+    """
+    data = b"".join([b"\n", b"\n".join(texts), b"\n", bytes(8)]).lower()
+    raw = np.frombuffer(data, np.uint8, len(data) - 8)
+    word = (raw != 32) & ((raw - np.uint8(9)) > 4)
+    turns = np.flatnonzero(word[1:] != word[:-1]) + 1
+    at, sizes = turns[::2], turns[1::2] - turns[::2]
+    values = np.empty(len(at), np.uint64)
+    order = np.argsort(np.minimum(sizes, 32).astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(sizes[order], np.arange(1, 33)).tolist()
+    for length in range(1, 32):
+        same = order[cuts[length - 1]: cuts[length]]
+        if len(same):
+            values[same] = _short_hashes(data, at[same], length)
+    for k in order[cuts[31]:].tolist():
+        values[k] = xxhash.xxh64_intdigest(data[at[k]: at[k] + sizes[k]])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    counts = np.diff(np.searchsorted(at, ends), prepend=0)
     out = np.empty(len(values) + 2 * len(texts), np.uint64)
     begins = np.cumsum(counts + 2) - (counts + 2)
     out[np.arange(len(values)) + 2 * np.repeat(np.arange(len(texts)), counts) + 1] = values
@@ -110,12 +165,25 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(*np.unique(np.delete(tokens, begins), return_counts=True))
 
 
-def _grams(order: int):
+def _cuts(bucket: np.ndarray) -> list[int]:
+    """Where runs of equal numbers begin, and the end."""
+    return [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+
+
+def _grams(order: int, blocks: int, buckets: int):
+    """Distinct n-grams of each slice with their numbers, one row per bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                for h, at in gram_hashes(*sequences(raw_texts(batch.column("text"))), order):
-                    yield _batch(*np.unique(h[at], return_counts=True))
+                tokens = sequences(raw_texts(batch.column("text")))
+                h, n = np.unique(np.concatenate([h[at] for h, at in gram_hashes(*tokens, order)]), return_counts=True)
+                bucket = _bucket_of(h, blocks, buckets)
+                cuts = _cuts(bucket)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                     pa.array([zstandard.compress(n[a:b].astype("<u4").tobytes(), 1) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["bucket", "h", "n"])
 
     return run
 
@@ -126,85 +194,76 @@ def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return (((h >> _S32) * np.uint64(blocks)) >> _S32).astype(np.int64)
 
 
+def _bucket_of(h: np.ndarray, blocks: int, buckets: int) -> np.ndarray:
+    """Buckets are runs of blocks, blocks are ranges of hashes."""
+    return _block_of(h, blocks) * buckets // blocks
+
+
+def _scrambled(h: np.ndarray, lev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of an entry, and its word inside its block."""
+    x = mix(h + lev.astype(np.uint64) * _LEVEL)
+    return x, (x & np.uint64(WORDS - 1)).astype(np.int64)
+
+
+def _bit(x: np.ndarray, probe: int) -> np.ndarray:
+    return (x >> np.uint64(10 + 6 * probe)) & np.uint64(63)
+
+
 def _places(h: np.ndarray, lev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word of an entry inside its block, and the bits that it sets there."""
-    x = mix(h + lev.astype(np.uint64) * _LEVEL)
+    x, word = _scrambled(h, lev)
     mask = np.zeros(len(x), np.uint64)
     for j in range(PROBES):
-        mask |= np.uint64(1) << ((x >> np.uint64(10 + 6 * j)) & np.uint64(63))
-    return (x & np.uint64(WORDS - 1)).astype(np.int64), mask
+        mask |= np.uint64(1) << _bit(x, j)
+    return word, mask
 
 
 class Block:
-    """N-grams of one block; raises its lowest level while they are too many."""
-
-    def __init__(self, number: int):
-        self.number, self.floor = number, 1
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.rows = 0
-
-    def add(self, h: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((h, level(counts)))
-        self.rows += len(h)
-        if self.rows > 4 * CAPACITY:
-            self.fit()
-
-    def fit(self) -> tuple[np.ndarray, np.ndarray]:
-        h, lev = (np.concatenate(x) for x in zip(*self.parts))
-        while np.maximum(lev - self.floor + 1, 0).sum() > CAPACITY:
+    """N-grams of one block; starts its scale at the lowest level that they leave room for."""
+
+    def __init__(self, h: np.ndarray, counts: np.ndarray):
+        self.h, self.levels, self.floor = h, level(counts), 1
+        while np.maximum(self.levels - self.floor + 1, 0).sum() > CAPACITY:
             self.floor += 1
-        keep = lev >= self.floor
-        self.parts, self.rows = [(h[keep], lev[keep])], int(keep.sum())
-        return self.parts[0]
 
     def bits(self) -> bytes:
-        h, lev = self.fit()
-        times = lev - self.floor + 1
+        kept = self.levels >= self.floor
+        h, times = self.h[kept], self.levels[kept] - self.floor + 1
         within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        word, mask = _places(np.repeat(h, times), within + self.floor)
-        out = np.zeros(WORDS, "<u8")
-        np.bitwise_or.at(out, word, mask)
-        return out.tobytes()
+        x, word = _scrambled(np.repeat(h, times), within + self.floor)
+        flags = np.zeros(BLOCK_BITS, bool)
+        for j in range(PROBES):
+            flags[word * 64 + _bit(x, j).astype(np.int64)] = True
+        return np.packbits(flags, bitorder="little").tobytes()
 
+    def rest(self) -> tuple[bytes, bytes]:
+        """Hashes in order and levels of the n-grams that the bits leave out, and of those just above; none if they leave out none."""
+        kept = (self.levels < self.floor + CONFIRM) & (self.floor > 1)
+        return self.h[kept].tobytes(), zstandard.compress(self.levels[kept].astype(np.uint8).tobytes(), 1)
 
-def _fill(blocks: int):
-    def out(block: Block) -> pa.RecordBatch:
-        bits = block.bits()  # settles the lowest level
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block.number], pa.int32()), pa.array([block.floor], pa.int32()), pa.array([bits], pa.binary())],
-            names=["block", "floor", "bits"])
 
+FILTER = "bucket long, block int, floor int, bits binary, h binary, levels binary"
+
+
+def _fill(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by hash, so that a block's rows are together (the number of blocks is even)."""
-        left_h, left_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        block = None
-        ended = False
-        while not ended:
-            batch = next(batches, None)
-            ended = batch is None
-            if not ended:
-                left_h = np.concatenate([left_h, batch.column("h").to_numpy().view(np.uint64)])
-                left_n = np.concatenate([left_n, batch.column("n").to_numpy()])
-            if not len(left_h):
-                continue
-            begins = np.flatnonzero(np.append(True, left_h[1:] != left_h[:-1]))
-            last = len(left_h) if ended else int(begins[-1])  # the last hash may go on in the next batch
-            if not ended:
-                begins = begins[:-1]
-            h, n = left_h[begins], np.add.reduceat(left_n[:last], begins) if len(begins) else begins
-            left_h, left_n = left_h[last:], left_n[last:]
+        for group in in_groups(batches, ["bucket"]):
+            h = np.concatenate([np.frombuffer(x, "<u8") for x in group.column("h").to_pylist()])
+            n = np.concatenate([np.frombuffer(zstandard.decompress(x), "<u4") for x in group.column("n").to_pylist()])
+            order = np.argsort(h)
+            h, n = h[order], n[order].astype(np.int64)
+            begins = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            h, n = h[begins], np.add.reduceat(n, begins)
             number = _block_of(h, blocks)
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(h)]
-            for begin, end in zip(cuts[:-1], cuts[1:]):
-                if begin == end:
-                    continue
-                if block is None or block.number != number[begin]:
-                    if block is not None:
-                        yield out(block)
-                    block = Block(int(number[begin]))
-                block.add(h[begin:end], n[begin:end])
-        if block is not None:
-            yield out(block)
+            bucket = group.column("bucket")[0].as_py()
+            cuts = _cuts(number)
+            for begin, end in zip(cuts, cuts[1:]):
+                block = Block(h[begin:end], n[begin:end])
+                hashes, levels = block.rest()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int64()), pa.array([number[begin]], pa.int32()), pa.array([block.floor], pa.int32()),
+                     pa.array([block.bits()], pa.binary()), pa.array([hashes], pa.binary()), pa.array([levels], pa.binary())],
+                    names=["bucket", "block", "floor", "bits", "h", "levels"])
 
     return run
 
@@ -219,8 +278,21 @@ class Filter:
     types: int
     order: int
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Count of each n-gram by its hash, from probes of one level after the other; 0 if unseen."""
+    def counts(self, h: np.ndarray, asked: np.ndarray | None = None, answers: np.ndarray | None = None) -> np.ndarray:
+        """Count of each n-gram by its hash; 0 if unseen.  ``answers`` are the levels of those ``asked`` (in order) of the table."""
+        found = self.levels(h)
+        if asked is not None:
+            unsure = self.unsure(h, found)
+            found[unsure] = answers[np.searchsorted(asked, h[unsure])]
+        return VALUE[found]
+
+    def unsure(self, h: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """N-grams whose level the bits alone cannot tell: in raised blocks, those not found well above the lowest level."""
+        floor = self.floors[_block_of(h, len(self.floors))]
+        return np.flatnonzero((floor > 1) & (found < floor + CONFIRM))
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, from probes of one level after the other; 0 if not found."""
         block = _block_of(h, len(self.floors))
         lev = self.floors[block].astype(np.int64)
         found = np.zeros(len(h), np.int64)
@@ -233,19 +305,25 @@ class Filter:
             found[alive] = lev[alive]
             lev[alive] += 1
             alive = alive[lev[alive] < len(VALUE)]
-        return VALUE[found]
+        return found
 
     def false_positive_rate(self) -> float:
         """Chance that an absent entry seems present, on the mean over the words."""
         return float(((np.bitwise_count(self.bits) / 64) ** PROBES).mean())
 
-    def log_probabilities(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def to_ask(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Hashes, in order, of the n-grams to ask the table for."""
+        h = np.unique(np.concatenate([h[at] for h, at in gram_hashes(tokens, begins, self.order)]))
+        return h[self.unsure(h, self.levels(h))]
+
+    def log_probabilities(self, tokens: np.ndarray, begins: np.ndarray, asked: np.ndarray | None = None,
+                          answers: np.ndarray | None = None) -> np.ndarray:
         """log10 of the probability of every token after those before it; 0 at the starts."""
         shorter = probability = None
         for h, at in gram_hashes(tokens, begins, self.order):
             distinct, place = np.unique(h[at], return_inverse=True)
             seen = np.zeros(len(tokens))
-            seen[at] = self.counts(distinct)[place]
+            seen[at] = self.counts(distinct, asked, answers)[place]
             if shorter is None:
                 probability = (seen + 1) / (self.tokens + self.types + 1)
             else:
@@ -268,20 +346,111 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[Filter, DataFrame]:
 
     The driver takes the blocks, ``MAX_BITS`` in all at most.
     """
+    model, counts, _, _ = _train(docs, order)
+    return model, counts
+
+
+def _train(docs: DataFrame, order: int) -> tuple[Filter, DataFrame, DataFrame, int]:
+    """As ``train``, and the blocks with their tables (``FILTER``) and the number of buckets."""
     texts = docs.select("text")
     counts = stored(texts.mapInArrow(lean(_words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, types = size["n"] or 0, size["v"]
     wanted = min(MAX_BITS, tokens * BITS_PER_TOKEN * (order - 1) + types * BITS_PER_TYPE)
     blocks = 2 * max(1, -(-wanted // (2 * BLOCK_BITS)))
-    number = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(blocks), 32)
-    grams = texts.mapInArrow(lean(_grams(order)), "h long, n long").repartition(number).sortWithinPartitions("h")
-    rows = stored(grams.mapInArrow(_fill(blocks), "block int, floor int, bits binary"), "filter")
+    buckets = min(blocks, max(1, -(-tokens * order // BUCKET_GRAMS)))
+    grams = texts.mapInArrow(lean(_grams(order, blocks, buckets)), "bucket long, h binary, n binary")
+    dealt = grams.repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions("bucket")
+    rows = stored(dealt.mapInArrow(lean(_fill(blocks)), FILTER), "filter")
     bits, floors = np.zeros((blocks, WORDS), "<u8"), np.ones(blocks, np.int32)
-    for batch in rows.toArrow().to_batches():
+    for batch in rows.select("block", "floor", "bits").toArrow().to_batches():
         for block, floor, data in zip(*(batch.column(c).to_pylist() for c in ("block", "floor", "bits"))):
             bits[block], floors[block] = np.frombuffer(data, "<u8"), floor
-    return Filter(bits, floors, tokens, types, order), counts
+    return Filter(bits, floors, tokens, types, order), counts, rows, buckets
+
+
+# --- n-grams that the bits leave out ------------------------------------------------
+
+SLICES = "slice long, ids binary, held binary, sizes binary, data binary"
+
+
+def _make_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    for whole in batches:
+        for batch in slices(whole, "text", 2 << 20):
+            texts = raw_texts(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([batch.column("doc_id").to_numpy().astype("<i8").tobytes()]),
+                 pa.array([batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()]),
+                 pa.array([np.array([len(t) for t in texts], "<i8").tobytes()]),
+                 pa.array([zstandard.compress(b"".join(texts), 3)])],
+                names=["slice", "ids", "held", "sizes", "data"])
+            number += 1
+
+
+def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            ends = np.cumsum(np.frombuffer(row["sizes"], "<i8")).tolist()
+            data = zstandard.decompress(row["data"])
+            yield row, [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+ASKED = "bucket long, slice long, h binary, levels binary"
+
+
+def _ask(model, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = Filter(*model.value)
+        for row, texts in _each_slice(batches):
+            h = filter_.to_ask(*sequences(texts))
+            bucket = _bucket_of(h, len(filter_.floors), buckets)
+            cuts = _cuts(bucket)
+            if cuts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, row["slice"], np.int64)),
+                     pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.nulls(len(cuts) - 1, pa.binary())],
+                    names=["bucket", "slice", "h", "levels"])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tables of a bucket's blocks come first; the questions of the slices stream by."""
+    bucket, parts, known, levels = None, [], np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    for batch in batches:
+        out = []
+        for number, slice_, h, lev in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "h", "levels"))):
+            if number != bucket:
+                bucket, parts, known = number, [], None
+            h = np.frombuffer(h, "<u8")
+            if lev is not None:
+                parts.append((h, np.frombuffer(zstandard.decompress(lev), np.uint8)))
+                continue
+            if known is None:
+                known, levels = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                order = np.argsort(known)
+                # one more that no question has, so that every search ends on an entry
+                known, levels = np.append(known[order], np.uint64(0)), np.append(levels[order], np.uint8(0))
+            at = np.searchsorted(known[:-1], h)
+            found = np.where(known[at] == h, levels[at], 0).astype(np.uint8)
+            out.append((number, slice_, zstandard.compress(found.tobytes(), 1)))
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                names=["bucket", "slice", "levels"])
+
+
+def _with_answers(rows: DataFrame, model, tables: DataFrame, buckets: int) -> DataFrame:
+    """Slices of the texts (``SLICES``) with the levels, by bucket, of the n-grams that they ask for."""
+    cut = stored(rows.select("doc_id", "held_out", "text").mapInArrow(lean(_make_slices), SLICES), "slices")
+    asked = cut.mapInArrow(lean(_ask(model, buckets)), ASKED)
+    rest = tables.select("bucket", F.lit(None).cast("long").alias("slice"), "h", "levels")
+    dealt = rest.unionByName(asked).repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions(
+        "bucket", F.col("slice").asc_nulls_first())
+    answers = stored(dealt.mapInArrow(lean(_answer), "bucket long, slice long, levels binary"), "levels")
+    return cut.join(answers.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "levels"))).alias("_answers")), "slice", "left")
 
 
 # --- scoring -----------------------------------------------------------------------
@@ -305,37 +474,53 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, known long, base double,
 
 
 def _score(model, frequent):
+    """Scores of slices of documents: rows of documents, or slices with answers."""
+
+    def read(batches: Iterator[pa.RecordBatch], filter_: Filter) -> Iterator[tuple]:
+        for whole in batches:
+            if "slice" not in whole.schema.names:
+                for batch in slices(whole, "text", 2 << 20):
+                    tokens, begins = sequences(raw_texts(batch.column("text")))
+                    yield batch.column("doc_id"), batch.column("held_out"), tokens, begins, filter_.log_probabilities(tokens, begins)
+                continue
+            for row, texts in _each_slice([whole]):
+                tokens, begins = sequences(texts)
+                asked = filter_.to_ask(tokens, begins)
+                answers = np.frombuffer(b"".join(zstandard.decompress(a["levels"]) for a in row["_answers"] or []), np.uint8)
+                if len(answers) != len(asked):
+                    raise RuntimeError("a slice needs one answer per n-gram that it asked for")
+                yield (pa.array(np.frombuffer(row["ids"], "<i8")), pa.array(np.frombuffer(row["held"], np.uint8) > 0), tokens, begins,
+                       filter_.log_probabilities(tokens, begins, asked, answers))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = Filter(*model.value)
         known_h, known_n = frequent.value
         gain = np.log10(known_n + 1.0)
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                tokens, begins = sequences(raw_texts(batch.column("text")))
-                lengths = np.diff(begins, append=len(tokens))
-                score = np.add.reduceat(filter_.log_probabilities(tokens, begins), begins)
-                base, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
-                counted = np.ones(len(tokens), bool)
-                counted[begins] = False
-                rare = counted
-                if len(known_h):
-                    at = np.minimum(np.searchsorted(known_h, tokens), len(known_h) - 1)
-                    hit = (known_h[at] == tokens) & counted
-                    base[hit], known[hit] = gain[at[hit]], 1
-                    rare = counted & ~hit
-                owner = np.repeat(np.arange(len(begins)), lengths)[rare]
-                h = tokens[rare]
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-                offsets = np.searchsorted(owner[first], np.arange(len(begins) + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(h[first].view(np.int64)), pa.array(np.diff(first, append=len(h)))], names=["h", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths - 1),
-                     pa.array(np.add.reduceat(known, begins)), pa.array(np.add.reduceat(base, begins)), pa.array(score),
-                     pa.ListArray.from_arrays(pa.array(offsets), pairs)],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+        for ids, held_out_, tokens, begins, gains in read(batches, filter_):
+            lengths = np.diff(begins, append=len(tokens))
+            score = np.add.reduceat(gains, begins)
+            base, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+            counted = np.ones(len(tokens), bool)
+            counted[begins] = False
+            rare = counted
+            if len(known_h):
+                at = np.minimum(np.searchsorted(known_h, tokens), len(known_h) - 1)
+                hit = (known_h[at] == tokens) & counted
+                base[hit], known[hit] = gain[at[hit]], 1
+                rare = counted & ~hit
+            owner = np.repeat(np.arange(len(begins)), lengths)[rare]
+            h = tokens[rare]
+            order = np.lexsort((h, owner))
+            owner, h = owner[order], h[order]
+            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            offsets = np.searchsorted(owner[first], np.arange(len(begins) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(h[first].view(np.int64)), pa.array(np.diff(first, append=len(h)))], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, held_out_, pa.array(lengths - 1),
+                 pa.array(np.add.reduceat(known, begins)), pa.array(np.add.reduceat(base, begins)), pa.array(score),
+                 pa.ListArray.from_arrays(pa.array(offsets), pairs)],
+                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     return run
 
@@ -353,7 +538,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     an empty result; other columns are not read.  A text must fit in a task.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").withColumn("held_out", held_out())
-    model, counts = train(rows.where("NOT held_out"), order)
+    model, counts, tables, buckets = _train(rows.where("NOT held_out"), order)
     least = _head(counts)
     known = counts.where(F.expr(_RARITY) >= least).toArrow()
     h, n = (np.concatenate([np.zeros(0, np.int64), *(b.column(c).to_numpy() for b in known.to_batches())]) for c in ("h", "n"))
@@ -361,7 +546,10 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model.bits, model.floors, model.tokens, model.types, model.order))
     frequent = context.broadcast((h.view(np.uint64)[by_hash], n[by_hash]))
-    scored = stored(rows.select("doc_id", "held_out", "text").mapInArrow(lean(_score(shared, frequent)), SCORES)
+    texts = rows.select("doc_id", "held_out", "text")
+    if (model.floors > 1).any():
+        texts = _with_answers(rows, shared, tables, buckets)
+    scored = stored(texts.mapInArrow(lean(_score(shared, frequent)), SCORES)
                     .withColumn("_row", F.monotonically_increasing_id()), "scores")
     # a word without training occurrences adds log10(0 + 1) and is not known: only matches matter
     matched = scored.select("_row", F.inline("rare").alias("h", "_times")).join(counts.where(F.expr(_RARITY) < least), "h")

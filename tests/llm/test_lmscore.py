@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hazegrid.llm import lmscore
@@ -130,3 +131,26 @@ def test_empty_and_untrained(spark):
     assert lmscore.score_documents(frame.limit(0)).count() == 0
     only = frame.withColumn("doc_id", F.lit(next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)).cast("long"))
     assert {tuple(r)[2:] for r in lmscore.score_documents(only).collect()} == {(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)}
+
+
+def test_rare_ngrams_of_full_blocks_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "MAX_BITS", 2 * lmscore.BLOCK_BITS)
+    monkeypatch.setattr(lmscore, "BUCKET_GRAMS", 100_000)
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"{rng.randrange(30_000)}" for _ in range(2000)) + " the same end") for k in range(40)] + [(99, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, _ = lmscore.train(frame.select("text"))
+    assert (model.floors > 1).all()
+    got, wanted = result(lmscore.score_documents(frame)), by_hand(rows, 2)
+    assert [r[:5] for r in got] == [r[:5] for r in wanted]
+    assert np.allclose([r[6] for r in got], [r[6] for r in wanted], rtol=2e-3)
+
+
+def test_word_hashes_are_xxh64():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aBc\t\n\x0b\x0c\r \x85\xa0\x00é!") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["", " ", "X" * 31, " " + "y" * 32, "z" * 500 + " ", *(" ".join("Q" * k for k in range(1, 40)) for _ in range(2))]
+    tokens, begins = lmscore.sequences([t.encode() for t in texts])
+    wanted = [[lmscore.START, *(xxhash.xxh64_intdigest(w.encode()) for w in words_of(t)), lmscore.END] for t in texts]
+    assert begins.tolist() == np.cumsum([0] + [len(w) for w in wanted])[:-1].tolist()
+    assert tokens.tolist() == [int(h) for w in wanted for h in w]
