@@ -50,6 +50,8 @@ BUCKET_BYTES = 8 << 20
 MAX_BUCKET_BITS = 20
 #: bits sent of an anchor's hash beyond those that choose the bucket
 ANCHOR_BITS = 40
+_FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_LOWER = np.uint64(0xFFFFFFFF)
 
 
 # --- suffix arrays by grouping -------------------------------------------------
@@ -197,31 +199,32 @@ class Block:
         """Runs of windows with one anchor: first and last start, anchor place, anchor hash, text number."""
         n = self.n
         words = self.eights = self._eights()
-        h = mix(words[:n])
-        for j in (8, 16):
-            h = mix(h + words[j: j + n])
-        least, place = h, np.zeros(n, np.uint8)
+        h = words[:n] * _FACTORS[0]
+        for j, factor in zip((8, 16), _FACTORS[1:]):
+            h += words[j: j + n] * factor
+        h = mix(h)
+        # upper half of the hash, then the place, so that the least is the leftmost of equal ones
+        least = (h & ~_LOWER) | np.arange(n, dtype=np.uint64)
         width = 1
         # a block shorter than a window has none
         while n >= WINDOW and width < PLACES:
             step = min(width, PLACES - width)
-            later = least[step:]
-            take = later < least[: n - step]
-            new = least.copy()
-            new[: n - step] = np.where(take, later, least[: n - step])
-            where = place.copy()
-            where[: n - step] = np.where(take, place[step:] + np.uint8(step), place[: n - step])
-            least, place, width = new, where, width + step
-        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        starts = np.flatnonzero(np.arange(n) + WINDOW <= self.ends[owner]) if n else np.zeros(0, np.int64)
-        at = starts + place[starts]
-        change = np.ones(len(starts), bool)
-        change[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
-        first = np.flatnonzero(change)
-        last = np.append(first[1:], len(starts)) - 1 if len(first) else first
-        self.run_first, self.run_last = starts[first], starts[last]
-        self.run_anchor, self.run_hash = at[first], h[at[first]] if len(first) else np.zeros(0, np.uint64)
-        self.run_text = owner[starts[first]] if len(first) else np.zeros(0, np.int32)
+            # the last ones have no whole window
+            least = np.minimum(least[: len(least) - step], least[step:])
+            width += step
+        at = np.full(n, -1, np.int64)
+        # behind the start of a text's last window none starts
+        starts = np.repeat(np.tile([True, False], len(self.sizes)), np.stack(
+            [np.maximum(self.sizes - (WINDOW - 1), 0), np.minimum(self.sizes, WINDOW - 1)], axis=1).ravel())
+        at[: len(least)] = least & _LOWER
+        at[~starts] = -1
+        turn = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+        first = turn[:-1][at[turn[:-1]] >= 0] if len(turn) else turn
+        last = turn[1:][at[turn[:-1]] >= 0] - 1 if len(turn) else turn
+        self.run_first, self.run_last = first, last
+        self.run_anchor = at[first]
+        self.run_hash = h[self.run_anchor]
+        self.run_text = np.searchsorted(self.ends, first, side="right").astype(np.int32)
 
     def anchor_codes(self, bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shortened anchor hashes in order, which of them several documents have, and each run's number."""
@@ -258,11 +261,16 @@ class Block:
         self.unit_low, self.unit_high = low, high
         self.unit_text = self.run_text[runs][which]
         # distinct units, each with its first occurrence, which is that of its smallest document
-        _, index, number = np.unique(mix(h + mix(outer)), return_index=True, return_inverse=True)
-        order = np.argsort(index, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.entry_unit, self.unit_entry = index[order], rank[number]
+        both = mix(h + mix(outer))
+        order = np.argsort(both)
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(both[order]) != 0
+        index = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+        entry = np.zeros(len(order), bool)
+        entry[index] = True
+        rank = np.cumsum(entry) - 1
+        self.entry_unit, self.unit_entry = np.flatnonzero(entry), np.empty(len(order), np.int64)
+        self.unit_entry[order] = rank[index][np.cumsum(new) - 1]
 
     def entries(self, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Bucket of each distinct unit, and the order that puts buckets together and keeps text order inside."""
@@ -438,7 +446,13 @@ def _answer_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _answer(h: np.ndarray, outer: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which windows of each unit a smaller document has, one bit per slot."""
-    order = np.lexsort((doc, outer, h))
+    out = np.zeros(len(h), np.uint8)
+    by_hash = np.argsort(h)
+    alone = np.ones(len(h) + 1, bool)
+    alone[1:-1] = np.diff(h[by_hash]) != 0
+    # a unit whose core nobody else has needs no order
+    shared = by_hash[~(alone[1:] & alone[:-1])]
+    order = shared[np.lexsort((doc[shared], outer[shared], h[shared]))]
     hs, os, ds = h[order], outer[order], doc[order]
     new_hash = np.ones(len(order), bool)
     new_hash[1:] = hs[1:] != hs[:-1]
@@ -462,7 +476,6 @@ def _answer(h: np.ndarray, outer: np.ndarray, doc: np.ndarray) -> np.ndarray:
         for c, (left, found) in enumerate(zip(lefts, smallest_owner(contexts))):
             for step, owner in enumerate(found):
                 windows[a + c, left - step] = owner
-    out = np.zeros(len(order), np.uint8)
     sorted_bits = ((windows[pair] < ds[:, None]) << np.arange(UNIT)).sum(axis=1).astype(np.uint8)
     out[order] = sorted_bits
     return out
