@@ -247,7 +247,8 @@ class Block:
         low = np.maximum(first[which], core - (UNIT - 1))
         high = np.minimum(last[which], core)
         left, right = core - low, high + WINDOW - (core + CORE)
-        h = q.astype(np.uint64)
+        # scrambled, since a small number would be made up for by the core's first byte
+        h = mix(q.astype(np.uint64) + np.uint64(1))
         for j in (0, 8, 16, 24, 32, CORE - 8):
             h = mix(h + self.eights[core + j])
         outer = np.zeros(len(core), np.uint64)

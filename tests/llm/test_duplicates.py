@@ -198,6 +198,17 @@ def test_likeness_follows_edits():
         assert fingerprint.likeness(e, e) == 1 and fingerprint.likeness(p, e) == 0
 
 
+def test_cores_that_differ_in_their_first_byte_are_told_apart():
+    rest = prose(random.Random(18), 80).encode()[:59]
+    block = suffixdedup.Block(np.array([1, 2]), np.array([60, 60]), b"b" + rest + b"a" + rest)
+    block.anchors()
+    # the second window's anchor is four bytes on, one slot, and its core's first byte is smaller by one
+    block.run_first = block.run_last = np.array([0, 60])
+    block.run_anchor, block.run_text = np.array([0, 64]), np.array([0, 1])
+    block.units(np.arange(2))
+    assert block.unit_core.tolist() == [0, 60] and len(set(block.unit_hash.tolist())) == 2
+
+
 def test_against_next(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     rng = random.Random(11)
