@@ -1,12 +1,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hazegrid.functions import fixed
 from hazegrid.operators import checks
-from hazegrid.plans import models
+from hazegrid.plans import models, trees
 from hazegrid.sources import views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,6 +55,41 @@ def test_tuning_equals_single_fits(spark, rows):
     assert whole == [108, 243]
 
 
+def test_search_is_whole_without_a_spark_fit_per_combination(spark, monkeypatch):
+    rng = random.Random(6)
+    # one feature with more values than are sent to the driver, gaps, and a third that does not matter
+    data = [(rng.random() * 9, rng.choice([None, 1.0, 2.0, 5.0]), float(rng.randrange(40))) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, a, b, c, 3 * a + 2 * (b or 0) + rng.random()) for i, (a, b, c) in enumerate(data)],
+                                 "id long, a double, b double, c double, y double")
+    splits, names = models.random_splits(rows, ["id"], 2), ["a", "b", "c"]
+    monkeypatch.setattr(models.trees, "VALUES", 1000)
+    alone = models.validate(splits, models.fitted(names, models.forest("y", trees=20, depth=6).setFeatureSubsetStrategy("all")), "y").agg(F.avg("mae")).first()[0]
+    for kind in (models.RandomForestRegressor, models.GBTRegressor):
+        monkeypatch.setattr(kind, "_fit", None)
+    grid = {"numTrees": [5, 20], "maxDepth": [2, 6], "minInstancesPerNode": [1, 4], "featureSubsetStrategy": ["sqrt", "all"]}
+    whole = models.tune(splits, names, models.forest("y"), grid)
+    assert len(whole) == 16 and whole[0][1] < whole[-1][1]
+    # a smaller forest or a shallower one alone is judged alike
+    for c, error in whole[::8]:
+        assert models.tune(splits, names, models.forest("y"), {n: [v] for n, v in c.items()}) == [(c, pytest.approx(error, rel=1e-12))]
+    by = {tuple(c.values()): e for c, e in whole}
+    assert by[20, 6, 1, "sqrt"] != by[20, 6, 4, "sqrt"] and by[20, 6, 1, "all"] == pytest.approx(alone, rel=0.1)
+    boosted = models.tune(splits, names, models.boosted("y"), {"maxIter": [3, 9], "subsamplingRate": [0.8, 1.0], "stepSize": [0.1, 0.2], "maxDepth": [3]})
+    assert len({e for _, e in boosted}) == 8
+    # order and parts of the rows do not matter
+    again = models.tune([(a.orderBy("c").repartition(5), b) for a, b in splits], names, models.forest("y"), {"numTrees": [5], "maxDepth": [6]})
+    assert again[0][1] == models.tune(splits, names, models.forest("y"), {"numTrees": [5], "maxDepth": [6]})[0][1]
+    with pytest.raises(ValueError, match="without a target"):
+        models.tune([(rows.withColumn("y", F.when(F.col("id") > 3, F.col("y"))), rows)], names, models.forest("y"), {"maxDepth": [2]})
+
+
+def test_least_rows_hold_for_both_children():
+    bins = [np.arange(8, dtype=np.uint8)]
+    weight, total = np.ones(8), np.array([9.0, 0, 0, 0, 0, 0, 0, 0])
+    free, held = (trees.grow(bins, 32, weight, total, [1], 1, least, 0.0, 1)[1] for least in (0, 2))
+    assert free.tolist() == [9.0] + [0.0] * 7 and held.tolist() == [4.5] * 2 + [0.0] * 6
+
+
 def test_no_training_day_follows_a_test_day(spark, rows):
     splits = checks.forward_splits(rows, "datetime", 4)
     assert len(splits) == 3
