@@ -276,6 +276,24 @@ def test_near_classes(spark):
     assert fingerprint.near_classes(docs.limit(0)).count() == 0
 
 
+def test_shared_runs_bound_the_distance(monkeypatch):
+    rng = random.Random(15)
+    counted, asked, in_band = fingerprint.RunCounts(), [], fingerprint._in_band
+    monkeypatch.setattr(fingerprint, "_in_band", lambda a, b, most: asked.append(most) or in_band(a, b, most))
+    for n in (3, 40, 900):
+        text = prose(rng, n)
+        for share in (0, 0.02, 0.1, 0.5):
+            other = edited_by(text, share, rng)
+            counted.hold(fingerprint.runs(text))
+            least = counted.least_edits(fingerprint.runs(other), max(len(text), len(other)))
+            exact = fingerprint.edit_distance(text, other, 1000)
+            assert least <= exact == fingerprint.edit_distance(text, other, 1000, least)
+    # runs alone tell these apart, and no band is tried that cannot hold the distance
+    asked.clear()
+    assert not fingerprint._near(text, other, 0.05, least) and not asked
+    assert fingerprint._near(text, edited_by(text, 0.03, rng), 0.05) and len(asked) == 1
+
+
 def test_near_classes_equal_all_pairs(spark, monkeypatch):
     # small blocks: the texts with one header share buckets and are no copies of each other
     monkeypatch.setattr(neardup, "BLOCK", 8)
